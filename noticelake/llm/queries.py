@@ -6,13 +6,31 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticelake.llm import bpe
+from noticelake.llm import bpe, exact_dedup, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+with texts as (
+    select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
+select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size,
+       doc_id = min(doc_id) over same as kept, sha256(norm) as text_sha256
+from texts window same as (partition by norm)
+"""
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,5 +38,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op10_byte_bpe,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_simhash, op10_byte_bpe)}
+ORACLES = {"op2_exact_dedup": OP2_SQL}
