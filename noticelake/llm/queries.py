@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from noticelake.llm import bpe, exact_dedup, mixing, rollup, sharding, simhash, toxicity
 from noticelake.llm._shared import crc_mod
 
 
@@ -28,6 +28,11 @@ from texts window same as (partition by norm)
 """
 
 
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -37,6 +42,28 @@ def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive under one tokenizer version, those in English are revised to the next, those of under 100
+    characters are deleted; the second batch is sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    store = rollup.RollupStore(spark)
+    store.apply("arrive", rollup.counts(docs, "words-1"))
+    for _ in range(2):
+        store.apply("revise", rollup.counts(docs.filter("lang = 'en'"), "words-2", "revise"))
+    store.apply("delete", rollup.counts(docs.filter("length(coalesce(text, '')) < 100"), "words-1", "delete"))
+    return store.totals()
+
+
+OP8_SQL = r"""
+with counted as (
+    select source, lang, case when lang = 'en' then 'words-2' else 'words-1' end as tokenizer,
+           len(regexp_extract_all(coalesce(text, ''), case when lang = 'en' then '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]' else '[^\x20\x09-\x0D]+' end)) as tokens
+    from documents where length(coalesce(text, '')) >= 100)
+select source, lang, tokenizer, count(*) as docs, cast(sum(tokens) as bigint) as tokens
+from counted group by source, lang, tokenizer
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.filter(crc_mod("doc_id", 3) != 1))
@@ -51,5 +78,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_simhash, op7_temperature_mix, op9_toxicity, op10_byte_bpe)}
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_vector_packing, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL}

@@ -30,8 +30,8 @@ from noticelake.llm._shared import rows_of, written
 SAMPLE_ROWS = 20_000
 MOST_TERMS = 3_000
 MOST_LOOKALIKES = 20_000
-#: A term needs so many toxic documents, such log-odds and such a likelihood ratio (chi-square with one degree of freedom).
-LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 2.0, 10.83
+#: A term needs so many toxic documents, such log-odds and such a likelihood ratio (chance gives one word in two million).
+LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 2.0, 25.0
 WINDOW = 8
 THRESHOLD = 0.7
 MEMO_TOKENS = 300_000
