@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, exact_dedup, mixing, rollup, sharding, simhash, toxicity
+from noticelake.llm import bpe, exact_dedup, html_extract, mixing, rollup, sharding, simhash, toxicity
 from noticelake.llm._shared import crc_mod
 
 
@@ -28,6 +28,10 @@ from texts window same as (partition by norm)
 """
 
 
+def op3_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
@@ -78,5 +82,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_vector_packing, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe)}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL}
