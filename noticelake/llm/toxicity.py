@@ -14,6 +14,7 @@ evidence and its density, fitted on the other half too, is the score.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from noticelake.llm._shared import rows_of, written
+from noticelake.llm._shared import partitions, rows_of, written
 
 #: Labelled rows that training reads at most, terms of the lexicon at most, and listed look-alikes at most.
 SAMPLE_ROWS = 20_000
@@ -32,6 +33,8 @@ MOST_TERMS = 3_000
 MOST_LOOKALIKES = 20_000
 #: A term needs so many toxic documents, such log-odds and such a likelihood ratio (chance gives one word in two million).
 LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 2.0, 25.0
+#: Weight from which a term is also looked for in misspelled form.
+FUZZY_WEIGHT = 0.9
 WINDOW = 8
 THRESHOLD = 0.7
 MEMO_TOKENS = 300_000
@@ -52,6 +55,13 @@ def edits_for(length: int) -> int:
     return 0 if length <= 4 else 1 if length <= 9 else 2
 
 
+@functools.cache
+def cuts_of(length: int) -> tuple[int, ...]:
+    """Where a term of that length is cut into one part more than it may have edits."""
+    parts = edits_for(length) + 1
+    return tuple(length * k // parts for k in range(parts + 1))
+
+
 def bare(token: str) -> str:
     """A lower-case token without the signs around it."""
     if token.isalnum():
@@ -65,56 +75,74 @@ def bare(token: str) -> str:
 
 
 class Lexicon:
-    """A trie of terms, searched by Levenshtein automata."""
+    """Tries of terms, one for each number of edits, searched by Levenshtein automata.
+
+    Only terms of weight ``FUZZY_WEIGHT`` or more are looked for with edits."""
 
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
-        self.root: dict = {}
-        starts: dict[int, set[str]] = {}
-        ends: dict[int, set[str]] = {}
-        middles: dict[int, set[str]] = {}
-        for term in terms:
-            node = self.root
+        self.tries: dict[int, dict] = {}
+        self.parts: dict[int, tuple[set[str], set[str], set[str]]] = {}
+        for term, weight in terms.items():
+            edits = edits_for(len(term))
+            if not edits or weight < FUZZY_WEIGHT:
+                continue
+            node = self.tries.setdefault(edits, {})
             for sign in term:
                 node = node.setdefault(sign, {})
             node[""] = term
-            # of the edits + 1 parts of a term one at least is unchanged: at the start, at the end, or in between
-            n = edits_for(len(term)) + 1
-            cuts = [len(term) * k // n for k in range(n + 1)]
-            if n > 1:
-                starts.setdefault(cuts[1], set()).add(term[: cuts[1]])
-                ends.setdefault(len(term) - cuts[-2], set()).add(term[cuts[-2] :])
-            for a, b in zip(cuts[1:-2], cuts[2:-1]):
-                middles.setdefault(b - a, set()).add(term[a:b])
-        self.starts, self.ends, self.middles = list(starts.items()), list(ends.items()), list(middles.items())
+            # of the edits + 1 parts of a term one at least is unchanged, and shifted by no more than the edits
+            cuts, (starts, ends, middles) = cuts_of(len(term)), self.parts.setdefault(len(term), (set(), set(), set()))
+            starts.add(term[: cuts[1]])
+            ends.add(term[cuts[-2] :])
+            if edits == 2:
+                middles.add(term[cuts[1] : cuts[2]])
 
     def may_match(self, token: str) -> bool:
-        return (
-            any(token[:k] in x for k, x in self.starts)
-            or any(token[-k:] in x for k, x in self.ends)
-            or any(token[i : i + k] in x for k, x in self.middles for i in range(len(token) - k + 1))
-        )
+        n = len(token)
+        for length in range(n - 2, n + 3):
+            if length in self.parts and abs(length - n) <= (edits := edits_for(length)):
+                cuts, (starts, ends, middles) = cuts_of(length), self.parts[length]
+                if token[: cuts[1]] in starts or token[cuts[-2] - length :] in ends:
+                    return True
+                if middles and any(token[cuts[1] + k : cuts[2] + k] in middles for k in range(-edits, edits + 1)):
+                    return True
+        return False
 
     def search(self, token: str) -> tuple[str, int] | None:
-        """The nearest term within its edits and its distance; of equally near ones the heaviest, then the first."""
+        """The nearest term within its edits and its distance; of equally near ones the heaviest, then the first.
+
+        The automaton's states are bit sets: bit i of the set for e edits says that i letters of the token may be read by now.
+        """
         if token in self.terms:
             return token, 0
         if len(token) < 4 or not self.may_match(token):
             return None
-        best: tuple | None = None
-        stack = [(self.root, tuple(range(len(token) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for sign, child in node.items():
-                if sign == "":
-                    if row[-1] <= edits_for(len(child)) and (best is None or (row[-1], -self.terms[child], child) < best):
-                        best = (row[-1], -self.terms[child], child)
-                    continue
-                new = [row[0] + 1]
-                for k, other in enumerate(token):
-                    new.append(min(row[k] + (sign != other), row[k + 1] + 1, new[k] + 1))
-                if min(new) <= 2:
-                    stack.append((child, tuple(new)))
+        places: dict[str, int] = {}
+        for i, sign in enumerate(token):
+            places[sign] = places.get(sign, 0) | 1 << i
+        whole, best = 1 << len(token), None
+        limit = 2 * whole - 1
+        for edits, trie in self.tries.items():
+            first = tuple((2 << e) - 1 & limit for e in range(edits + 1))
+            stack = [(trie, first)]
+            while stack:
+                node, states = stack.pop()
+                for sign, child in node.items():
+                    if sign == "":
+                        distance = next((e for e, x in enumerate(states) if x & whole), None)
+                        if distance is not None and (best is None or (distance, -self.terms[child], child) < best):
+                            best = (distance, -self.terms[child], child)
+                        continue
+                    at = places.get(sign, 0)
+                    old = states[0]
+                    new = [(old & at) << 1]
+                    for e in range(1, edits + 1):
+                        now = states[e]
+                        new.append((((now & at) << 1) | old | (old << 1) | (new[-1] << 1)) & limit)
+                        old = now
+                    if new[-1]:
+                        stack.append((child, new))
         return (best[2], best[0]) if best else None
 
 
@@ -174,26 +202,43 @@ def context(tokens: list[str], at: int) -> tuple[bool, bool]:
     return opened and closed, any(bare(x) in SPEAKING for x in tokens[low:high])
 
 
-def word_counts(sample: DataFrame, model: Model | None = None) -> DataFrame:
-    """word, toxic and clean: documents of the sample that have the word; with a model only words that are near its terms."""
+def word_counts(sample: DataFrame) -> DataFrame:
+    """word, and the documents of the sample that have it: toxic and clean ones of the first half, and of both (all_toxic, all_clean)."""
+    names = ["toxic", "clean", "all_toxic", "all_clean"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pydict({"word": list(counts), "toxic": [x[1] for x in counts.values()], "clean": [x[0] for x in counts.values()]}, schema=pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]))
+            columns = np.array(list(counts.values()), np.int64).reshape(-1, 4)
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *map(pa.array, columns.T.copy())], ["word", *names])
             counts.clear()
             return batch
 
-        for texts, labels in rows_of(batches, ["text", "toxic"]):
-            for text, label in zip(texts, labels):
+        for texts, labels, firsts in rows_of(batches, ["text", "toxic", "first"]):
+            for text, label, first in zip(texts, labels, firsts):
                 for word in set(map(bare, set((text or "").lower().split()))):
-                    if word and (model is None or (word not in model.terms and model.lexicon.search(word))):
-                        counts.setdefault(word, [0, 0])[label] += 1
+                    if word:
+                        row = counts.setdefault(word, [0, 0, 0, 0])
+                        row[1 - label] += first
+                        row[3 - label] += 1
                 if len(counts) > 300_000:
                     yield out()
         yield out()
 
-    return sample.select("text", "toxic").mapInArrow(run, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.select("text", "toxic", "first").mapInArrow(run, "word string, " + ", ".join(f"{x} bigint" for x in names))
+    return counted.groupBy("word").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def near_terms(words: DataFrame, model: Model) -> DataFrame:
+    """Rows of words (column word) that are within edits of a term but none themselves."""
+    lexicon = model.lexicon
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([x not in lexicon.terms and lexicon.search(x) is not None for x in batch.column("word").to_pylist()], pa.bool_()))
+
+    return words.mapInArrow(run, words.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
@@ -218,14 +263,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_column
     share = (F.col("toxic") + F.col("clean")) / F.lit(toxic + clean)
     ratio = 2 * (part(F.col("toxic"), share * toxic) + part(F.col("clean"), share * clean) + part(toxic - F.col("toxic"), (1 - share) * toxic) + part(clean - F.col("clean"), (1 - share) * clean))
     odds = F.log((F.col("toxic") + 0.5) / (toxic - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (clean - F.col("clean") + 0.5))
-    counted = word_counts(sample.filter("first")).withColumn("odds", odds).withColumn("ratio", ratio)
+    words = written(word_counts(sample), "toxic-words")
+    counted = words.withColumn("odds", odds).withColumn("ratio", ratio)
     chosen = counted.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "word").limit(MOST_TERMS)
     # a term that is as rare among clean texts as the sample can tell, counts in full
     terms = {r.word: min(1.0, r.odds / 5.0) * (1 - math.exp(-r.ratio / 20)) for r in chosen.collect()}
     if not terms:
         return Model({})
     model = Model(terms)
-    near = word_counts(sample, model).filter("clean >= 2 and toxic <= clean").orderBy(F.desc("clean"), "word").limit(MOST_LOOKALIKES)
+    near = near_terms(words.filter("all_clean >= 1 and all_toxic <= all_clean").repartition(partitions(docs.sparkSession)), model).orderBy(F.desc("all_clean"), "word").limit(MOST_LOOKALIKES)
     model = Model(terms, frozenset(r.word for r in near.collect()))
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
