@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, exact_dedup, html_extract, mixing, rollup, sharding, simhash, toxicity
+from noticelake.llm import bpe, exact_dedup, html_extract, lm_score, mixing, rollup, sharding, simhash, toxicity
 from noticelake.llm._shared import crc_mod
 
 
@@ -37,6 +37,10 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -82,5 +86,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op5_ppm_score, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe)}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL}
