@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, exact_dedup, html_extract, lm_score, mixing, rollup, sharding, simhash, toxicity
+from noticelake.llm import bpe, exact_dedup, fingerprint, html_extract, lm_score, mixing, rollup, sharding, simhash, toxicity
 from noticelake.llm._shared import crc_mod
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -86,5 +90,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op5_ppm_score, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op5_ppm_score, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe)}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL}
