@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import citation, grid, text
-from noticelake.operators import attachments, listing, references, summary
+from noticelake.operators import attachments, html, listing, references, summary
 from noticelake.sources.fixtures import oracle, view
 
 QUERIES: dict = {}
@@ -334,3 +334,23 @@ def numbered_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""with {_LINES} select doc_id, cast(i as int) as i, regexp_replace(regexp_replace(trim(regexp_replace(item, '\s+', ' ', 'g')), '^\s*&nbsp;\s*', ''), '\s*&nbsp;\s*$', '') as cleaned from items""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", F.posexplode("items").alias("i", "item")).select("doc_id", "i", text.clean_text(F.col("item")).alias("cleaned"))
+
+
+@query(r"""with m as (select page_id, url, regexp_extract_all(html, '<a href="[^"]+">[^<]+</a>') as ms from pages),
+l as (select page_id, url, unnest(ms) as x, generate_subscripts(ms, 1) - 1 as ord from m)
+select page_id, cast(ord as int) as ord, regexp_extract(url, '^[a-z]+://[^/]+') || regexp_extract(x, 'href="([^"]+)"', 1) as url,
+  replace(regexp_extract(x, '>([^<]+)<', 1), '&amp;', '&') as text, regexp_matches(x, '(?i)\.pdf"') as is_pdf from l""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_links(table(spark, sf_dir, "pages"))
+
+
+@query(r"select page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) as title from pages")
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_titles(table(spark, sf_dir, "pages"))
+
+
+@query(None)
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each page's article, put where notices have theirs; SQL has no parser, so tests check the blocks."""
+    pages = table(spark, sf_dir, "pages")
+    return html.page_blocks(pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", '<div class="content"><blockquote>'), "</article>", "</blockquote></div>")))
