@@ -34,21 +34,25 @@ def is_valid(rows: Column) -> Column:
 
 def cleaned(rows: Column) -> Column:
     """Nulls as empty cells, cells trimmed; columns (of the first row) filled in 20 % of the rows; rows with a filled cell."""
+    def kept_columns(text: Column) -> Column:
+        width, height = F.size(F.element_at(text, 1)), F.size(text)
+        wide = F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast("array<int>"))
+        kept = F.filter(wide, lambda k: F.size(F.filter(text, lambda r: F.coalesce(F.get(r, k - 1), F.lit("")) != "")) / height >= COLUMN_FILL)
+        pruned = let(kept, lambda ks: F.transform(text, lambda r: F.transform(ks, lambda k: F.coalesce(F.get(r, k - 1), F.lit("")))))
+        return F.filter(pruned, lambda r: F.exists(r, lambda c: c != ""))
+
     text = F.transform(rows, lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit("")))))
-    width, height = F.size(F.element_at(text, 1)), F.size(text)
-    wide = F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast("array<int>"))
-    kept = F.filter(wide, lambda k: F.size(F.filter(text, lambda r: F.coalesce(F.get(r, k - 1), F.lit("")) != "")) / height >= COLUMN_FILL)
-    pruned = F.transform(text, lambda r: F.transform(kept, lambda k: F.coalesce(F.get(r, k - 1), F.lit(""))))
-    pruned = F.filter(pruned, lambda r: F.exists(r, lambda c: c != ""))
-    return F.when(F.size(rows) > 0, pruned).otherwise(rows)
+    return F.when(F.size(rows) > 0, let(text, kept_columns)).otherwise(rows)
 
 
 def looks_like_header(row: Column) -> Column:
     """Header words count 1, title case or capitals a half; 1 is enough unless over 70 % of the filled cells are numbers."""
-    cells = F.transform(F.filter(row, filled), lambda c: strip(c))
-    score = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(any_word(F.upper(c), HEADER_WORDS), 1.0).otherwise(0.0) + F.when(is_title(c) | is_capitals(c), 0.5).otherwise(0.0))
-    numeric = F.size(F.filter(cells, lambda c: F.regexp_replace(c, r"[.\-]", "").rlike(r"^\d+$")))
-    return F.coalesce((F.size(cells) > 0) & (numeric / F.size(cells) <= NUMERIC_SHARE) & (score >= 1), F.lit(False))
+    def test(cells: Column) -> Column:
+        score = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(any_word(F.upper(c), HEADER_WORDS), 1.0).otherwise(0.0) + F.when(is_title(c) | is_capitals(c), 0.5).otherwise(0.0))
+        numeric = F.size(F.filter(cells, lambda c: F.regexp_replace(c, r"[.\-]", "").rlike(r"^\d+$")))
+        return (F.size(cells) > 0) & (numeric / F.size(cells) <= NUMERIC_SHARE) & (score >= 1)
+
+    return F.coalesce(let(F.transform(F.filter(row, filled), strip), test), F.lit(False))
 
 
 def is_title(cell: Column) -> Column:
@@ -62,9 +66,12 @@ def is_capitals(cell: Column) -> Column:
 
 def is_contents(rows: Column) -> Column:
     """Whether 30 % of the filled cells, each counted up to twice, have words of a table of contents; three rows at least."""
+    def test(cells: Column) -> Column:
+        points = F.aggregate(cells, F.lit(0), lambda a, c: a + any_word(c, TOC_WORDS).cast("int") + any_word(c, TOC_MARKS).cast("int"))
+        return (F.size(cells) > 0) & (points / F.size(cells) >= TOC_SHARE)
+
     cells = F.transform(F.filter(F.flatten(rows), filled), lambda c: F.upper(strip(c)))
-    points = F.aggregate(cells, F.lit(0), lambda a, c: a + any_word(c, TOC_WORDS).cast("int") + any_word(c, TOC_MARKS).cast("int"))
-    return F.coalesce((F.size(rows) >= 3) & (F.size(cells) > 0) & (points / F.size(cells) >= TOC_SHARE), F.lit(False))
+    return F.coalesce((F.size(rows) >= 3) & let(cells, test), F.lit(False))
 
 
 def contents_names(width: Column) -> Column:

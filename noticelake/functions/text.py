@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words, patterns and tables that results depend on (fixed values).
@@ -21,6 +21,12 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each computed once per row however often it is used: a generator of one row, which the
+    optimizer neither copies into filters above it nor folds into other projections."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(text, UNICODE + r"^\s+|\s+$", "")

@@ -53,7 +53,7 @@ def _key(title: str, parts_title: str) -> str:
 
 @query(f"with p as ({_parts('title', 'fx_ref_titles', 'k, title')}) select k, dept as department, kind as type, {_ZFILL} as number, {_YEAR} as year, coalesce(d_dated, d_of) as date, case when kind is not null then title end as original_title from p", "fx_ref_titles")
 def parse_reference_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "fx_ref_titles").select("k", citation.parsed(F.col("title")).alias("p")).select("k", "p.*")
+    return text.once(view(spark, sf_dir, "fx_ref_titles"), p=citation.parsed(F.col("title"))).select("k", "p.*")
 
 
 @query(f"with p as ({_parts('lower(trim(title))', 'fx_ref_titles', 'k, lower(trim(title)) as t')}) select k, {_key('t', 't')} as norm_key from p", "fx_ref_titles")
@@ -253,14 +253,14 @@ def grid_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_GRID} select grid_id, header from head", "fx_grid_cells")
 def grid_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _grids(spark, sf_dir).select("grid_id", grid.cleaned(F.col("rows")).alias("rows")).filter(F.size("rows") > 0)
-    return clean.select("grid_id", grid.looks_like_header(F.element_at("rows", 1)).alias("header"))
+    clean = text.once(_grids(spark, sf_dir), clean=grid.cleaned(F.col("rows"))).filter(F.size("clean") > 0)
+    return clean.select("grid_id", grid.looks_like_header(F.element_at("clean", 1)).alias("header"))
 
 
 @query(f"with {_GRID} select grid_id, contents from toc", "fx_grid_cells")
 def grid_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _grids(spark, sf_dir).select("grid_id", grid.cleaned(F.col("rows")).alias("rows")).filter(F.size("rows") > 0)
-    return clean.select("grid_id", grid.is_contents(F.col("rows")).alias("contents"))
+    clean = text.once(_grids(spark, sf_dir), clean=grid.cleaned(F.col("rows"))).filter(F.size("clean") > 0)
+    return clean.select("grid_id", grid.is_contents(F.col("clean")).alias("contents"))
 
 
 @query(f"""with {_GRID}, w as (select grid_id, max(spot) as width, max(line) as height from clean group by grid_id),
