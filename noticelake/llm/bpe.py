@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 #: Pieces of more bytes are contracted by contract().
 LONG_PIECE = 256
 #: Known pieces kept by a worker (about 60 bytes each), pieces per recursive query, and characters looked at together.
-KNOWN_PIECES = 1_500_000
-QUERY_PIECES = 40_000
-GROUP_CHARS = 6_000_000
-GROUP_ROWS = 4_000
+KNOWN_PIECES = 400_000
+QUERY_PIECES = 20_000
+GROUP_CHARS = 2_000_000
+GROUP_ROWS = 2_000
 
 #: Unicode white space, for DuckDB's regular expressions, whose own class has ASCII only (fixed values).
 SPACE = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
