@@ -20,10 +20,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -34,7 +35,7 @@ ORDER = 5
 #: Contexts with symbols, and words, that a block may have: what a worker keeps is about 60 bytes for each.
 BLOCK_ENTRIES = 4_000_000
 #: Bytes of text that are counted or scored together.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 U = np.uint64
@@ -44,6 +45,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+def word_keys(words: Iterable[bytes]) -> np.ndarray:
+    """Words as hashes of 64 bits, by which counts are looked up: 8 bytes instead of a Python object for each."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), U)
+
+
 def stream_of(words: list[bytes]) -> bytes:
     return b" ".join([*words, b"\n"]) if words else b"\n"
 
@@ -86,7 +92,7 @@ def mixed(keys: np.ndarray) -> np.ndarray:
 
 
 def count(training: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """Grams of the highest order and words of the column text, each with its count over all rows: (gram, n) and (word, n).
+    """Grams of the highest order and words of the column text, each with its count over all rows: (gram, n) and (word, n), words as word_keys().
 
     Counts travel as arrays, one for each partition and slice; slices are added up in tasks of their own.
     """
@@ -130,7 +136,7 @@ def count(training: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame
                 size += len(streams[-1])
                 if size >= CHUNK_BYTES:
                     add()
-            if sum(len(k) for k, _ in held) > 4_000_000 or len(words) > 600_000:
+            if sum(len(k) for k, _ in held) > 2_000_000 or len(words) > 300_000:
                 yield from out()
         yield from out()
 
@@ -148,11 +154,11 @@ def count(training: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame
                     words[w] += c
         for stack in held.values():
             keys, n = add_up(np.concatenate([a for a, _ in stack]), np.concatenate([c for _, c in stack]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(n)], ["gram", "word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["gram", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64()), pa.array(n)], ["gram", "word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(word_keys(words).view(np.int64)), pa.array(list(words.values()), pa.int64())], ["gram", "word", "n"])
 
     dealt = training.select("text").mapInArrow(split, "slice int, grams binary, n binary, words binary, m binary").repartitionById(slices, F.col("slice"))
-    table = written(dealt.mapInArrow(join, "gram bigint, word binary, n bigint"), "lm-counts")
+    table = written(dealt.mapInArrow(join, "gram bigint, word bigint, n bigint"), "lm-counts")
     return table.filter("gram is not null").select("gram", "n"), table.filter("word is not null").select("word", "n")
 
 
@@ -246,17 +252,15 @@ class Hash:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, (2 * len(keys)).bit_length())
         size = 1 << self.bits
-        self.keys, self.values = np.full(size, ~U(0), U), np.zeros(size, np.float32)
-        self.exact = np.zeros(size, np.float64)
+        self.keys, self.values = np.full(size, ~U(0), U), np.zeros(size)
         waiting, slot, self.longest = np.arange(len(keys)), self._slot(keys), 0
         while len(waiting):
             self.longest += 1
             free = self.keys[slot] == ~U(0)
             self.keys[slot[free]] = keys[waiting[free]]
             mine = self.keys[slot] == keys[waiting]
-            self.exact[slot[mine]] = values[waiting[mine]]
+            self.values[slot[mine]] = values[waiting[mine]]
             waiting, slot = waiting[~mine], (slot[~mine] + 1) & (size - 1)
-        del self.values
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
@@ -266,7 +270,7 @@ class Hash:
         slot = self._slot(keys)
         found = self.keys[slot]
         hit = found == keys
-        out = np.where(hit, self.exact[slot], 0.0)
+        out = np.where(hit, self.values[slot], 0.0)
         waiting = np.flatnonzero(~hit & (found != ~U(0)))
         slot = slot[waiting]
         for _ in range(self.longest):
@@ -275,14 +279,14 @@ class Hash:
             slot = (slot + 1) & (len(self.keys) - 1)
             found = self.keys[slot]
             mine = found == keys[waiting]
-            out[waiting[mine]] = self.exact[slot[mine]]
+            out[waiting[mine]] = self.values[slot[mine]]
             hit[waiting[mine]] = True
             more = ~mine & (found != ~U(0))
             waiting, slot = waiting[more], slot[more]
         return out, hit
 
 
-_built: dict[int, tuple[Trie, dict[bytes, float]]] = {}
+_built: dict[int, tuple[Trie, Hash]] = {}
 
 
 def block_of(packed: np.ndarray, blocks: int) -> np.ndarray:
@@ -323,9 +327,9 @@ def scores(docs: DataFrame, train_on: Column, order: int = ORDER, block_entries:
         own_grams, own_words = gram_counts, word_counts
         if blocks > 1:
             own_grams = own_grams.mapInArrow(_block_filter(b, blocks), "gram bigint, n bigint")
-            own_words = own_words.filter(F.pmod(F.crc32("word"), F.lit(blocks)) == b)
+            own_words = own_words.filter(F.pmod("word", F.lit(blocks)) == b)
         table, words = own_grams.toArrow(), own_words.toArrow()  # a block: block_entries rows or about that
-        content = spark.sparkContext.broadcast((table["gram"].to_numpy().view(U), table["n"].to_numpy().astype(np.int64), words["word"].to_pylist(), words["n"].to_numpy(), low_orders))
+        content = spark.sparkContext.broadcast((table["gram"].to_numpy().view(U), table["n"].to_numpy().astype(np.int64), words["word"].to_numpy().view(U), words["n"].to_numpy(), low_orders))
         parts.append(source.select("doc_id", "text", "train").mapInArrow(_block_scorer(content, b, blocks, order, kind, end_value, end_known), f"doc_id {id_type}, train boolean, row string, n_tokens bigint, n_known bigint, known double, score double"))
     if blocks == 1:
         whole = parts[0]
@@ -354,8 +358,9 @@ def _block_scorer(content, block: int, blocks: int, order: int, kind: pa.DataTyp
             keys, n, words, m, low = content.value
             if low is not None:
                 keys, n = lend(keys, n, low, order)
-            _built[key] = (Trie(keys, n, order), dict(zip(words, np.log10(m + 1.0).tolist())))
-        trie, words = _built[key]
+            _built[key] = (Trie(keys, n, order), Hash(words, np.log10(m + 1.0)))
+            del content._value, keys, n, words, m  # the tables hold what is needed of them
+        trie, vocabulary = _built[key]
         for ids, trains, texts in rows_of(batches, ["doc_id", "train", "text"]):
             at = 0
             while at < len(texts):
@@ -364,10 +369,10 @@ def _block_scorer(content, block: int, blocks: int, order: int, kind: pa.DataTyp
                 first = at
                 while at < len(texts) and size < CHUNK_BYTES:
                     found = words_of(texts[at])
-                    got = [v for v in map(words.get, found) if v is not None]
+                    value, hit = vocabulary.get(word_keys(found))
                     tokens.append(len(found) + 1)
-                    known.append(len(got) + (end_known if block == 0 else 0))
-                    values.append(math.fsum(got) + (end_value if block == 0 else 0.0))
+                    known.append(int(hit.sum()) + (end_known if block == 0 else 0))
+                    values.append(float(value.sum()) + (end_value if block == 0 else 0.0))
                     streams.append(stream_of(found))
                     sizes.append(len(streams[-1]))
                     digests.append(f"{zlib.crc32(streams[-1]):08x}{zlib.adler32(streams[-1]):08x}{sizes[-1]:x}" if blocks > 1 else "")
