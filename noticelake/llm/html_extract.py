@@ -3,8 +3,9 @@
 A tolerant tokenizer turns a page into blocks of text, each with what its open elements say of it: within the article,
 within something that is none of it (menus, forms, adverts, comments), or neither.  The pages of a host, in groups of
 bounded size, are concatenated into one stream of word numbers, whose suffix array (prefix doubling, sorted to the
-length of a long run) brings equal runs side by side.  Runs that stand on several distinct pages of the group are
-boilerplate, and blocks that they cover are removed; unique runs stay.  Where the page marks its article, only runs on
+length of a long run) brings equal runs side by side.  The groups' counts of runs are added up for the host, by hashes
+of the runs.  Runs that stand on several distinct pages of the host are boilerplate, and blocks that they cover are
+removed; unique runs stay.  Where the page marks its article, only runs on
 many pages count against a block of it, and never against most of an article: articles may quote and copy each other.
 """
 
@@ -13,16 +14,18 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from noticelake.llm._shared import written
+from noticelake.llm._shared import rows_of, written
 
 #: Pages of a host that one suffix array takes; words of a long run; pages that make a run boilerplate: outside of a marked
-#: article at least, and within one the larger of that and a share of the group.
+#: article at least, and within one the larger of that and a share of the host.
 GROUP_PAGES = 400
 RUN = 8
 LEAST_PAGES = 3
@@ -31,6 +34,8 @@ SHARE = 0.3
 COVERED = 0.8
 MOST_OF_ARTICLE = 0.5
 BROADCAST_HOSTS = 200_000
+#: Keys of pages that a parsing task remembers.
+SEEN_KEYS = 300_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
@@ -111,16 +116,15 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def repeated_runs(stream: np.ndarray, owner: np.ndarray, run: int = RUN) -> np.ndarray:
-    """For each position of the stream the number of distinct owners whose streams have a run that covers it.
+def ranked_runs(stream: np.ndarray, owner: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of the places where a run starts, the number of each place's run, and of each run its distinct owners.
 
     stream: word numbers; owner: the page of each word, in ascending order.  The suffix array is made by prefix doubling
     up to the run's length; suffixes that agree so far stand side by side, and each such range is one run.
     """
     n = len(stream)
-    cover = np.zeros(n, np.int64)
     if n < run:
-        return cover
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, rank = np.unique(stream, return_inverse=True)
     rank, length = rank.astype(np.int64), 1
     while length < run:
@@ -132,39 +136,90 @@ def repeated_runs(stream: np.ndarray, owner: np.ndarray, run: int = RUN) -> np.n
     last = np.searchsorted(owner, owner, "right")  # a run must end on its page
     starts = np.flatnonzero(np.arange(n) + run <= last)
     array = starts[np.lexsort((owner[starts], rank[starts]))]
-    first = np.concatenate([[True], rank[array][1:] != rank[array][:-1]])
-    fresh = first | np.concatenate([[True], owner[array][1:] != owner[array][:-1]])
+    first = np.ones(len(array), bool)
+    first[1:] = rank[array][1:] != rank[array][:-1]
+    fresh = first.copy()
+    fresh[1:] |= owner[array][1:] != owner[array][:-1]
     label = np.cumsum(first) - 1
-    pages = np.bincount(label, weights=fresh).astype(np.int64)[label]
+    return array, label, np.bincount(label, weights=fresh).astype(np.int64)
+
+
+def covered(n: int, array: np.ndarray, label: np.ndarray, pages: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each of n places the largest number of pages of a run that covers it."""
+    cover = np.zeros(n, np.int64)
     for k in range(run):
-        np.maximum.at(cover, array + k, pages)
+        np.maximum.at(cover, array + k, pages[label])
     return cover
 
 
-def main_texts(pages: list[list[tuple[str, int]]]) -> list[list[str]]:
-    """Of each page of a group the blocks of its main text."""
-    number: dict[str, int] = {}
-    words, owners, spans = [], [], []
-    distinct: dict[tuple, int] = {}
-    for blocks in pages:
-        key = tuple(blocks)
-        if key in distinct:  # a copy of a page is no other page
-            spans.append(None)
-            continue
-        distinct[key] = len(spans)
-        own = []
-        for text, _ in blocks:
-            found = text.lower().split()
-            own.append((len(words), len(words) + len(found)))
-            words.extend(number.setdefault(w, len(number)) for w in found)
-            owners.extend([len(spans)] * len(found))
-        spans.append(own)
-    cover = repeated_runs(np.array(words, np.int64), np.array(owners, np.int64)) if len(distinct) >= LEAST_PAGES else np.zeros(len(words), np.int64)
-    strict = max(LEAST_PAGES, math.ceil(SHARE * len(distinct)))
+def repeated_runs(stream: np.ndarray, owner: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each position of the stream the number of distinct owners whose streams have a run that covers it."""
+    return covered(len(stream), *ranked_runs(stream, owner, run), run)
+
+
+def run_hashes(numbers: dict[str, int], stream: np.ndarray, array: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of each run's words, the same in every group."""
+    import xxhash
+
+    words = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in numbers], np.uint64)
+    at = array[np.flatnonzero(np.diff(label, prepend=-1))]
+    out = np.zeros(len(at), np.uint64)
+    for k in range(RUN):
+        out = (out ^ words[stream[at + k]]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Streams:
+    """The word streams of a group's distinct pages, one after the other, and their runs."""
+
+    def __init__(self, pages: list[list[tuple[str, int]]]):
+        self.numbers: dict[str, int] = {}
+        self.spans: list[list[tuple[int, int]] | None] = []
+        self.distinct: dict[tuple, int] = {}
+        words, owners = [], []
+        for blocks in pages:
+            key = tuple(blocks)
+            if key in self.distinct:  # a copy of a page is no other page
+                self.spans.append(None)
+                continue
+            self.distinct[key] = len(self.spans)
+            own = []
+            for text, _ in blocks:
+                found = text.lower().split()
+                own.append((len(words), len(words) + len(found)))
+                words.extend(self.numbers.setdefault(w, len(self.numbers)) for w in found)
+                owners.extend([len(self.spans)] * len(found))
+            self.spans.append(own)
+        self.stream = np.array(words, np.int64)
+        self.array, self.label, self.pages = ranked_runs(self.stream, np.array(owners, np.int64))
+
+    def hashes(self) -> np.ndarray:
+        return run_hashes(self.numbers, self.stream, self.array, self.label)
+
+
+def main_texts(pages: list[list[tuple[str, int]]], host: tuple[int, np.ndarray, np.ndarray] | None = None) -> list[list[str]]:
+    """Of each page of a group the blocks of its main text.
+
+    host, where the group is not the whole host: the host's distinct pages, and the hashes (ascending) and pages of the
+    runs whose pages on the host are more than those of the group.
+    """
+    group = Streams(pages)
+    size_of_host, counts = len(group.distinct), group.pages
+    if host is not None:
+        size_of_host, known, totals = host
+        own_hashes = group.hashes()
+        at = np.searchsorted(known, own_hashes)
+        hit = at < len(known)
+        hit[hit] = known[at[hit]] == own_hashes[hit]
+        counts = counts.copy()
+        counts[hit] = totals[at[hit]]
+    cover = covered(len(group.stream), group.array, group.label, counts) if size_of_host >= LEAST_PAGES else np.zeros(len(group.stream), np.int64)
+    strict = max(LEAST_PAGES, math.ceil(SHARE * size_of_host))
     kept: list[list[str]] = []
-    for blocks, own in zip(pages, spans):
+    for blocks, own in zip(pages, group.spans):
         if own is None:
-            kept.append(kept[distinct[tuple(blocks)]])
+            kept.append(kept[group.distinct[tuple(blocks)]])
             continue
         marked = any(kind == 2 for _, kind in blocks)
         wanted = [k for k, (_, kind) in enumerate(blocks) if kind == (2 if marked else 1)]
@@ -177,6 +232,92 @@ def main_texts(pages: list[list[tuple[str, int]]]) -> list[list[str]]:
     return kept
 
 
+def packed(blocks: list[tuple[str, int]]) -> str:
+    """Blocks as lines that start with their kind; a block's text has no line feed."""
+    return "\n".join(f"{kind}{text}" for text, kind in blocks)
+
+
+def unpacked(content: str) -> list[tuple[str, int]]:
+    return [(x[1:], int(x[0])) for x in content.split("\n")] if content else []
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, key (a hash of host and blocks) and content (packed blocks, null where the task had that key before)."""
+    import xxhash
+
+    id_type = to_arrow_type(pages.schema["page_id"].dataType)
+    schema = pa.schema([("page_id", id_type), ("url", pa.string()), ("host", pa.string()), ("key", pa.binary()), ("content", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for ids, urls, hosts, htmls in rows_of(batches, ["page_id", "url", "host", "html"], 64):
+            keys, contents = [], []
+            for host, page in zip(hosts, htmls):
+                content = packed(blocks_of(page))
+                keys.append(xxhash.xxh3_128_digest(f"{host}\n{content}".encode("utf-8", "surrogatepass")))
+                contents.append(None if keys[-1] in seen else content)
+                if len(seen) >= SEEN_KEYS:
+                    seen.clear()
+                seen.add(keys[-1])
+            yield pa.RecordBatch.from_pydict({"page_id": ids, "url": urls, "host": hosts, "key": keys, "content": contents}, schema=schema)
+
+    return pages.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, key binary, content string")
+
+
+def group_texts(group: pa.Table, host: tuple[int, np.ndarray, np.ndarray] | None = None) -> pa.Table:
+    """key and text of each distinct page of a group."""
+    pages = dict(zip(group.column("key").to_pylist(), group.column("content").to_pylist()))
+    found = main_texts([unpacked(x) for x in pages.values()], host)
+    return pa.table({"key": pa.array(list(pages), pa.binary()), "text": pa.array(["\n".join(x) for x in found], pa.string())})
+
+
+def planes(hashes: np.ndarray) -> bytes:
+    """Ascending hashes byte by byte, the highest bytes first, which then repeat and compress."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+
+def host_runs(dealt: DataFrame) -> DataFrame:
+    """For each group (host_no, part) of dealt its runs that stand on LEAST_PAGES pages of the host or more, and on pages of
+    other groups: hashes, and their pages on the host.
+
+    A group counts its own runs and deals their hashes into as many buckets as the host has groups; a bucket adds up
+    what all groups of the host say of its runs, and tells each group of those it has.  Groups hold no page in common.
+    """
+    def count(group: pa.Table) -> pa.Table:
+        pages = dict(zip(group.column("key").to_pylist(), group.column("content").to_pylist()))
+        streams = Streams([unpacked(x) for x in pages.values()])
+        hashes, groups = streams.hashes(), group.column("groups")[0].as_py()
+        bucket = (hashes % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((hashes, bucket))
+        hashes, counts, bounds = hashes[order], streams.pages[order], np.searchsorted(bucket[order], np.arange(groups + 1))
+        some = np.flatnonzero(np.diff(bounds))
+        return pa.table({
+            "host_no": pa.array([group.column("host_no")[0].as_py()] * len(some), pa.int64()), "bucket": pa.array(some, pa.int32()), "part": pa.array([group.column("part")[0].as_py()] * len(some), pa.int32()),
+            "hashes": pa.array([planes(hashes[bounds[b] : bounds[b + 1]]) for b in some], pa.binary()), "counts": pa.array([counts[bounds[b] : bounds[b + 1]].astype("<u4").tobytes() for b in some], pa.binary()),
+        })
+
+    def add(group: pa.Table) -> pa.Table:
+        hashes = [from_planes(x) for x in group.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()])
+        found, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        totals = np.bincount(place, weights=counts).astype(np.int64)[place]
+        ends = np.cumsum([len(x) for x in hashes])[:-1]
+        rows = []
+        for part, own, total, here in zip(group.column("part").to_pylist(), hashes, np.split(totals, ends), np.split(counts, ends)):
+            many = (total >= LEAST_PAGES) & (total > here)
+            if many.any():
+                rows.append((part, planes(own[many]), total[many].astype("<u4").tobytes()))
+        parts, own, totals = zip(*rows) if rows else ((), (), ())
+        return pa.table({"host_no": pa.array([group.column("host_no")[0].as_py()] * len(rows), pa.int64()), "part": pa.array(parts, pa.int32()), "hashes": pa.array(own, pa.binary()), "totals": pa.array(totals, pa.binary())})
+
+    counted = dealt.groupBy("host_no", "part").applyInArrow(count, "host_no bigint, bucket int, part int, hashes binary, counts binary")
+    return counted.groupBy("host_no", "bucket").applyInArrow(add, "host_no bigint, part int, hashes binary, totals binary")
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text (blocks joined by a line feed, empty if none) and n_chars.
 
@@ -184,20 +325,29 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     Pages that mark an article (article or main elements, or their roles) give its blocks; others what is left beside
     menus, forms and the like once runs shared by pages of the host are gone.  Other columns are not read.  No rows: no rows.
 
-    Pages move once, by host; hosts with more than GROUP_PAGES pages are dealt to that many groups by a hash of the page,
-    so a host of a third of all pages is many groups, and a task holds one group at a time.
+    A page is parsed once, and from then on each distinct one of a host moves.  Hosts with more than GROUP_PAGES distinct
+    pages are dealt to groups of about that many by a hash, so a host of a third of all pages is many groups, and a task
+    holds one group at a time; the pages of a run are counted over all groups of its host (host_runs), so that what
+    goes does not depend on the group.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     source = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")).withColumn("host", host)
-    large = source.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") > GROUP_PAGES)
-    large = written(large.select("host", F.ceil(F.col("pages") / F.lit(GROUP_PAGES)).cast("int").alias("groups")), "large-hosts")
-    large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
-    dealt = source.join(large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int"), F.lit(0)))
-    kind = source.schema["page_id"].dataType.simpleString()
-
-    def run(group: pa.Table) -> pa.Table:
-        found = main_texts([blocks_of(x) for x in group.column("html").to_pylist()])
-        texts = ["\n".join(x) for x in found]
-        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
-
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    read = written(parsed(source), "parsed-pages", "zstd")
+    contents = read.filter("content is not null").select("host", "key", "content")
+    large = contents.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") > GROUP_PAGES)
+    large = written(large.select("host", F.monotonically_increasing_id().alias("host_no"), "pages", F.ceil(F.col("pages") / F.lit(GROUP_PAGES)).cast("int").alias("groups")), "large-hosts")
+    few = large.count() <= BROADCAST_HOSTS
+    named = contents.join(F.broadcast(large) if few else large, "host", "left")
+    small = named.filter("host_no is null").select("host", "key", "content")
+    dealt = named.filter("host_no is not null").select("host_no", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int").alias("part"), "groups", "pages", "key", "content")
+
+    def texts(group: pa.Table, runs: pa.Table) -> pa.Table:
+        hashes = np.concatenate([np.zeros(0, np.uint64), *map(from_planes, runs.column("hashes").to_pylist())])
+        totals = np.frombuffer(b"".join(runs.column("totals").to_pylist()), "<u4").astype(np.int64)
+        order = np.argsort(hashes)
+        return group_texts(group, (group.column("pages")[0].as_py(), hashes[order], totals[order]))
+
+    of_small = small.groupBy("host").applyInArrow(lambda group: group_texts(group), "key binary, text string")
+    of_large = dealt.groupBy("host_no", "part").cogroup(host_runs(dealt).groupBy("host_no", "part")).applyInArrow(texts, "key binary, text string")
+    found = of_small.unionByName(of_large)
+    return read.select("page_id", "url", "key").join(found, "key").select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

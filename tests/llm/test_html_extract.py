@@ -50,3 +50,25 @@ def test_rows(spark):
     texts = {r.page_id: r.text for r in found}
     assert texts[1] == "Headéline\nOne & two three\nFour links" and texts[2] == texts[3] == "" and texts[None] == ("x " * 50000).strip()
     assert extract(spark.createDataFrame(rows[:0], "page_id bigint, url string, html string")).collect() == []
+
+
+def test_host_of_many_groups_as_one(spark, monkeypatch):
+    """Runs are counted over all groups of a host: what goes does not depend on how many groups there are."""
+    from noticelake.llm import html_extract
+
+    own = lambda k, mark: " ".join(f"{mark}{k}x{j}" for j in range(15))
+    plate, rare, quote = own(0, "plate"), own(0, "rare"), own(0, "quote")
+    rows = []
+    for k in range(120):
+        parts = [own(k, "w")] + [plate] * (k % 10 == 0) + [rare] * (k in (5, 50, 95)) + [quote] * (k in (7, 77))
+        rows.append((k, f"http://a.example/{k}", "".join(f"<p>{x}</p>" for x in parts)))
+    rows += [(k, f"http://a.example/{k}", f"<article><p>{plate}</p><p>{own(k, 'w')} {own(k, 'v')}</p></article>") for k in range(120, 140)]
+    rows += [(k, f"http://a.example/{k}", f"<p>{quote}</p><p>{own(7, 'copy')}</p><script>{k}</script>") for k in range(140, 150)]  # copies of one page
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", 1000)
+    whole = {r.page_id: r.text for r in extract(docs).collect()}
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", 4)
+    assert {r.page_id: r.text for r in extract(docs).collect()} == whole
+    assert len(whole) == 150 and all(whole[k] == own(k, "w") for k in range(120) if k not in (7, 77))
+    assert all(whole[k].startswith("plate") for k in range(120, 140))  # on 32 of 141 pages: under the share of the host
+    assert whole[140] == own(7, "copy") and whole[149] == whole[140]
