@@ -34,8 +34,6 @@ SHARE = 0.3
 COVERED = 0.8
 MOST_OF_ARTICLE = 0.5
 BROADCAST_HOSTS = 200_000
-#: Keys of pages that a parsing task remembers.
-SEEN_KEYS = 300_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
@@ -242,33 +240,23 @@ def unpacked(content: str) -> list[tuple[str, int]]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, key (a hash of host and blocks) and content (packed blocks, null where the task had that key before)."""
+    """Pages of a batch that are alike in one row: host, groups, key (a hash of host and blocks), content (packed blocks) and pages (their page_id and url)."""
     import xxhash
 
-    id_type = to_arrow_type(pages.schema["page_id"].dataType)
-    schema = pa.schema([("page_id", id_type), ("url", pa.string()), ("host", pa.string()), ("key", pa.binary()), ("content", pa.string())])
+    kind = pages.schema["page_id"].dataType
+    page_type = pa.list_(pa.struct([("page_id", to_arrow_type(kind)), ("url", pa.string())]))
+    schema = pa.schema([("host", pa.string()), ("groups", pa.int32()), ("key", pa.binary()), ("content", pa.string()), ("pages", page_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for ids, urls, hosts, htmls in rows_of(batches, ["page_id", "url", "host", "html"], 64):
-            keys, contents = [], []
-            for host, page in zip(hosts, htmls):
+        for ids, urls, hosts, groups, htmls in rows_of(batches, ["page_id", "url", "host", "groups", "html"]):
+            alike: dict[bytes, tuple] = {}
+            for page_id, url, host, many, page in zip(ids, urls, hosts, groups, htmls):
                 content = packed(blocks_of(page))
-                keys.append(xxhash.xxh3_128_digest(f"{host}\n{content}".encode("utf-8", "surrogatepass")))
-                contents.append(None if keys[-1] in seen else content)
-                if len(seen) >= SEEN_KEYS:
-                    seen.clear()
-                seen.add(keys[-1])
-            yield pa.RecordBatch.from_pydict({"page_id": ids, "url": urls, "host": hosts, "key": keys, "content": contents}, schema=schema)
+                key = xxhash.xxh3_128_digest(f"{host}\n{content}".encode("utf-8", "surrogatepass"))
+                alike.setdefault(key, (host, many, key, content, []))[4].append({"page_id": page_id, "url": url})
+            yield pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(zip(*alike.values()), schema)], schema=schema)
 
-    return pages.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, key binary, content string")
-
-
-def group_texts(group: pa.Table, host: tuple[int, np.ndarray, np.ndarray] | None = None) -> pa.Table:
-    """key and text of each distinct page of a group."""
-    pages = dict(zip(group.column("key").to_pylist(), group.column("content").to_pylist()))
-    found = main_texts([unpacked(x) for x in pages.values()], host)
-    return pa.table({"key": pa.array(list(pages), pa.binary()), "text": pa.array(["\n".join(x) for x in found], pa.string())})
+    return pages.mapInArrow(run, f"host string, groups int, key binary, content string, pages array<struct<page_id: {kind.simpleString()}, url: string>>")
 
 
 def planes(hashes: np.ndarray) -> bytes:
@@ -281,41 +269,45 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 
 def host_runs(dealt: DataFrame) -> DataFrame:
-    """For each group (host_no, part) of dealt its runs that stand on LEAST_PAGES pages of the host or more, and on pages of
+    """For each group (host, part) of dealt its runs that stand on LEAST_PAGES pages of the host or more, and on pages of
     other groups: hashes, and their pages on the host.
 
     A group counts its own runs and deals their hashes into as many buckets as the host has groups; a bucket adds up
     what all groups of the host say of its runs, and tells each group of those it has.  Groups hold no page in common.
+    One bucket more, without hashes, adds up the distinct pages.  Hosts of one group have no rows.
     """
     def count(group: pa.Table) -> pa.Table:
-        pages = dict(zip(group.column("key").to_pylist(), group.column("content").to_pylist()))
-        streams = Streams([unpacked(x) for x in pages.values()])
-        hashes, groups = streams.hashes(), group.column("groups")[0].as_py()
-        bucket = (hashes % np.uint64(groups)).astype(np.int64)
-        order = np.lexsort((hashes, bucket))
-        hashes, counts, bounds = hashes[order], streams.pages[order], np.searchsorted(bucket[order], np.arange(groups + 1))
-        some = np.flatnonzero(np.diff(bounds))
-        return pa.table({
-            "host_no": pa.array([group.column("host_no")[0].as_py()] * len(some), pa.int64()), "bucket": pa.array(some, pa.int32()), "part": pa.array([group.column("part")[0].as_py()] * len(some), pa.int32()),
-            "hashes": pa.array([planes(hashes[bounds[b] : bounds[b + 1]]) for b in some], pa.binary()), "counts": pa.array([counts[bounds[b] : bounds[b + 1]].astype("<u4").tobytes() for b in some], pa.binary()),
-        })
+        host, groups, part = (group.column(x)[0].as_py() for x in ("host", "groups", "part"))
+        rows = []
+        if groups > 1:
+            contents = dict(zip(group.column("key").to_pylist(), group.column("content").to_pylist()))
+            streams = Streams([unpacked(x) for x in contents.values()])
+            hashes = streams.hashes()
+            bucket = (hashes % np.uint64(groups)).astype(np.int64)
+            order = np.lexsort((hashes, bucket))
+            hashes, counts, bounds = hashes[order], streams.pages[order].astype("<u4"), np.searchsorted(bucket[order], np.arange(groups + 1))
+            rows = [(b, planes(hashes[x:y]), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
+            rows.append((groups, b"", np.array([len(contents)], "<u4").tobytes()))
+        return pa.table({"host": pa.array([host] * len(rows), pa.string()), "part": pa.array([part] * len(rows), pa.int32()), **{name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate((("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())))}})
 
     def add(group: pa.Table) -> pa.Table:
+        parts = group.column("part").to_pylist()
         hashes = [from_planes(x) for x in group.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()])
-        found, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(place, weights=counts).astype(np.int64)[place]
-        ends = np.cumsum([len(x) for x in hashes])[:-1]
-        rows = []
-        for part, own, total, here in zip(group.column("part").to_pylist(), hashes, np.split(totals, ends), np.split(counts, ends)):
-            many = (total >= LEAST_PAGES) & (total > here)
-            if many.any():
-                rows.append((part, planes(own[many]), total[many].astype("<u4").tobytes()))
-        parts, own, totals = zip(*rows) if rows else ((), (), ())
-        return pa.table({"host_no": pa.array([group.column("host_no")[0].as_py()] * len(rows), pa.int64()), "part": pa.array(parts, pa.int32()), "hashes": pa.array(own, pa.binary()), "totals": pa.array(totals, pa.binary())})
+        counts = [np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()]
+        if not len(hashes[0]):
+            rows = [(part, b"", np.array([np.concatenate(counts).sum()], "<u4").tobytes()) for part in parts]
+        else:
+            _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            totals = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)[place]
+            rows = []
+            for part, own, here, total in zip(parts, hashes, counts, np.split(totals, np.cumsum([len(x) for x in hashes])[:-1])):
+                many = (total >= LEAST_PAGES) & (total > here)
+                if many.any():
+                    rows.append((part, planes(own[many]), total[many].astype("<u4").tobytes()))
+        return pa.table({"host": pa.array([group.column("host")[0].as_py()] * len(rows), pa.string()), **{name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate((("part", pa.int32()), ("hashes", pa.binary()), ("totals", pa.binary())))}})
 
-    counted = dealt.groupBy("host_no", "part").applyInArrow(count, "host_no bigint, bucket int, part int, hashes binary, counts binary")
-    return counted.groupBy("host_no", "bucket").applyInArrow(add, "host_no bigint, part int, hashes binary, totals binary")
+    counted = dealt.groupBy("host", "part").applyInArrow(count, "host string, part int, bucket int, hashes binary, counts binary")
+    return counted.groupBy("host", "bucket").applyInArrow(add, "host string, part int, hashes binary, totals binary")
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -325,29 +317,33 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     Pages that mark an article (article or main elements, or their roles) give its blocks; others what is left beside
     menus, forms and the like once runs shared by pages of the host are gone.  Other columns are not read.  No rows: no rows.
 
-    A page is parsed once, and from then on each distinct one of a host moves.  Hosts with more than GROUP_PAGES distinct
-    pages are dealt to groups of about that many by a hash, so a host of a third of all pages is many groups, and a task
-    holds one group at a time; the pages of a run are counted over all groups of its host (host_runs), so that what
-    goes does not depend on the group.
+    Pages are parsed and move once, by host, those of a batch that are alike in one row.  Hosts with more than GROUP_PAGES
+    pages are dealt to that many groups by a hash of the blocks, so a host of a third of all pages is many groups, and a
+    task holds one group at a time; the pages of a run are counted over all groups of its host (host_runs), so that
+    what goes does not depend on the group.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     source = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")).withColumn("host", host)
-    read = written(parsed(source), "parsed-pages", "zstd")
-    contents = read.filter("content is not null").select("host", "key", "content")
-    large = contents.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") > GROUP_PAGES)
-    large = written(large.select("host", F.monotonically_increasing_id().alias("host_no"), "pages", F.ceil(F.col("pages") / F.lit(GROUP_PAGES)).cast("int").alias("groups")), "large-hosts")
-    few = large.count() <= BROADCAST_HOSTS
-    named = contents.join(F.broadcast(large) if few else large, "host", "left")
-    small = named.filter("host_no is null").select("host", "key", "content")
-    dealt = named.filter("host_no is not null").select("host_no", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int").alias("part"), "groups", "pages", "key", "content")
+    large = source.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") > GROUP_PAGES)
+    large = written(large.select("host", F.ceil(F.col("pages") / F.lit(GROUP_PAGES)).cast("int").alias("groups")), "large-hosts")
+    large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
+    blocks = parsed(source.join(large, "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1))))
+    dealt = blocks.select("host", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int").alias("part"), "groups", "key", "content", "pages")
 
     def texts(group: pa.Table, runs: pa.Table) -> pa.Table:
-        hashes = np.concatenate([np.zeros(0, np.uint64), *map(from_planes, runs.column("hashes").to_pylist())])
-        totals = np.frombuffer(b"".join(runs.column("totals").to_pylist()), "<u4").astype(np.int64)
-        order = np.argsort(hashes)
-        return group_texts(group, (group.column("pages")[0].as_py(), hashes[order], totals[order]))
-
-    of_small = small.groupBy("host").applyInArrow(lambda group: group_texts(group), "key binary, text string")
-    of_large = dealt.groupBy("host_no", "part").cogroup(host_runs(dealt).groupBy("host_no", "part")).applyInArrow(texts, "key binary, text string")
-    found = of_small.unionByName(of_large)
-    return read.select("page_id", "url", "key").join(found, "key").select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+        keys = group.column("key").to_pylist()
+        contents = dict(zip(keys, group.column("content").to_pylist()))
+        of_host = None
+        if runs.num_rows:
+            hashes = [from_planes(x) for x in runs.column("hashes").to_pylist()]
+            totals = [np.frombuffer(x, "<u4").astype(np.int64) for x in runs.column("totals").to_pylist()]
+            known, pages = np.concatenate(hashes), np.concatenate([t for h, t in zip(hashes, totals) if len(h)] or [np.zeros(0, np.int64)])
+            order = np.argsort(known)
+            of_host = (next(int(t[0]) for h, t in zip(hashes, totals) if not len(h)), known[order], pages[order])
+        found = dict(zip(contents, main_texts([unpacked(x) for x in contents.values()], of_host)))
+        return pa.table({"pages": group.column("pages"), "text": pa.array(["\n".join(found[x]) for x in keys], pa.string())})
+
+    kind = source.schema["page_id"].dataType.simpleString()
+    found = dealt.groupBy("host", "part").cogroup(host_runs(dealt).groupBy("host", "part")).applyInArrow(texts, f"pages array<struct<page_id: {kind}, url: string>>, text string")
+    rows = found.select(F.explode("pages").alias("page"), "text")
+    return rows.select("page.page_id", "page.url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
