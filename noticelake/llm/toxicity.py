@@ -33,8 +33,10 @@ MOST_TERMS = 3_000
 MOST_LOOKALIKES = 20_000
 #: A term needs so many toxic documents, such log-odds and such a likelihood ratio (chance gives one word in two million).
 LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 2.0, 25.0
-#: Weight from which a term is also looked for in misspelled form.
+#: Weight from which a lexicon by itself looks for a term in misspelled form too; a model looks for all.
 FUZZY_WEIGHT = 0.9
+#: Letters up to which a term's deletions are listed (466 words at most).
+LONG = 30
 WINDOW = 8
 THRESHOLD = 0.7
 MEMO_TOKENS = 300_000
@@ -74,18 +76,41 @@ def bare(token: str) -> str:
     return token[a:b]
 
 
+def deletions(word: str, most: int) -> set[str]:
+    """The word, and what is left of it without any 1 to ``most`` (at most 2) letters."""
+    out, n = {word}, len(word)
+    if most:
+        out.update(word[:i] + word[i + 1 :] for i in range(n))
+    if most == 2:
+        out.update(word[:i] + word[i + 1 : j] + word[j + 1 :] for i in range(n) for j in range(i + 1, n))
+    return out
+
+
 class Lexicon:
     """Tries of terms, one for each number of edits, searched by Levenshtein automata.
 
-    Only terms of weight ``FUZZY_WEIGHT`` or more are looked for with edits."""
+    Words within e edits have a word in common that e deletions at most make of either, so terms of up to ``LONG``
+    letters are found by what deletions leave of them, and the automaton runs along those terms alone.  Longer ones,
+    of which deletions leave too much, are in the tries, behind a test of their parts.
+
+    Only terms of weight ``least`` or more are looked for with edits."""
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, float], least: float = FUZZY_WEIGHT):
         self.terms = terms
+        self.left: dict[int, dict[str, list[str]]] = {}
+        self.lengths: dict[int, tuple[int, int]] = {}
         self.tries: dict[int, dict] = {}
         self.parts: dict[int, tuple[set[str], set[str], set[str]]] = {}
         for term, weight in terms.items():
             edits = edits_for(len(term))
-            if not edits or weight < FUZZY_WEIGHT:
+            if not edits or weight < least:
+                continue
+            if len(term) <= LONG:
+                left = self.left.setdefault(edits, {})
+                for word in deletions(term, edits):
+                    left.setdefault(word, []).append(term)
+                low, high = self.lengths.get(edits, (len(term), len(term)))
+                self.lengths[edits] = min(low, len(term)), max(high, len(term))
                 continue
             node = self.tries.setdefault(edits, {})
             for sign in term:
@@ -116,14 +141,30 @@ class Lexicon:
         """
         if token in self.terms:
             return token, 0
-        if len(token) < 4 or not self.may_match(token):
+        if len(token) < 4:
+            return None
+        near: set[str] = set()
+        for edits, left in self.left.items():
+            low, high = self.lengths[edits]
+            if low - edits <= len(token) <= high + edits:
+                for word in deletions(token, edits):
+                    if word in left:
+                        near.update(left[word])
+        tries = self.tries if self.tries and self.may_match(token) else {}
+        if not near and not tries:
             return None
         places: dict[str, int] = {}
         for i, sign in enumerate(token):
             places[sign] = places.get(sign, 0) | 1 << i
         whole, best = 1 << len(token), None
         limit = 2 * whole - 1
-        for edits, trie in self.tries.items():
+        searched = list(tries.items())
+        for term in near:
+            line = {"": term}
+            for sign in reversed(term):
+                line = {sign: line}
+            searched.append((edits_for(len(term)), line))
+        for edits, trie in searched:
             first = tuple((2 << e) - 1 & limit for e in range(edits + 1))
             stack = [(trie, first)]
             while stack:
@@ -154,7 +195,7 @@ class Model:
     fit: tuple[float, float, float] = (-4.0, 1.5, 0.5)
 
     def __post_init__(self):
-        self.lexicon = Lexicon(self.terms)
+        self.lexicon = Lexicon(self.terms, 0.0)  # look-alikes and halved weights guard against chance hits
         self.memo: dict[str, float] = {}
 
     def __getstate__(self):

@@ -78,3 +78,27 @@ def test_without_labels_or_rows(spark, data):
     assert model.terms == {} and {r.score for r in scores(docs, model).collect()} == {Model({}).score("")}
     assert train(docs, labels.withColumn("toxic", F.lit(None).cast("int"))).terms == {}
     assert scores(docs.limit(0), model).collect() == [] and reject(docs.limit(0), model).collect() == []
+
+
+def test_misspellings_of_terms_that_clean_texts_quote():
+    """A term that counts for less than 0.9 is sought misspelled like any other, unless the misspelling is a look-alike."""
+    for weight in (0.7, 0.8, 0.89):
+        model = Model({"dreadful": weight, "abominable": weight}, frozenset({"dreadfuls"}))
+        assert model.weight("dreadfol") == weight * 0.5 and model.weight("abominabel") == weight * 0.25
+        assert model.weight("dreadfuls") == 0.0 and model.weight("dread") == 0.0
+        assert model.score("you dreadfol dreadfol dreadfol one") > Model({}).score("you dreadfol dreadfol dreadfol one")
+
+
+def test_all_terms_against_distances():
+    """With terms too long for deletions beside short ones."""
+    rng = random.Random(8)
+    terms = {"".join(rng.choice("abc") for _ in range(rng.choice([5, 7, 9, 10, 12, 30, 31, 40]))): rng.choice([0.72, 0.8, 1.0]) for _ in range(150)}
+    lexicon = Lexicon(terms, 0.0)
+    for _ in range(1000):
+        token = list(rng.choice(sorted(terms)))
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(token))
+            token[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "d"])
+        token = "".join(token)
+        near = min(((distance(token, t), -w, t) for t, w in terms.items() if abs(len(t) - len(token)) <= 2 and edits_for(len(t)) >= distance(token, t)), default=None)
+        assert lexicon.search(token) == ((token, 0) if token in terms else (near[2], near[0]) if near and len(token) >= 4 else None)
