@@ -74,3 +74,13 @@ def test_paths_and_reach(spark, tmp_path):
         nodes = r.path.split(">")
         assert (len(set(nodes[:-1])) == len(nodes) - 1) and ((nodes[-1] in nodes[:-1]) == (r.error is not None))
     assert {(r.root, r.node) for r in references.reachable(edges).collect()} == {(r.root, r.node) for r in paths if r.root != r.node}
+
+
+def test_reach_of_a_long_chain(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    n = 58
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n)], "src bigint, dst bigint").coalesce(1)
+    found = {(r.root, r.node) for r in references.reachable(edges).collect()}
+    assert found == {(a, b) for a in range(n) for b in range(a + 1, n + 1)}
+    with pytest.raises(ValueError):
+        references.reachable(edges, max_rounds=3)
