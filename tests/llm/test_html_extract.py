@@ -65,10 +65,26 @@ def test_host_of_many_groups_as_one(spark, monkeypatch):
     rows += [(k, f"http://a.example/{k}", f"<article><p>{plate}</p><p>{own(k, 'w')} {own(k, 'v')}</p></article>") for k in range(120, 140)]
     rows += [(k, f"http://a.example/{k}", f"<p>{quote}</p><p>{own(7, 'copy')}</p><script>{k}</script>") for k in range(140, 150)]  # copies of one page
     docs = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
-    monkeypatch.setattr(html_extract, "GROUP_PAGES", 1000)
     whole = {r.page_id: r.text for r in extract(docs).collect()}
-    monkeypatch.setattr(html_extract, "GROUP_PAGES", 4)
+    monkeypatch.setattr(html_extract, "GROUP_BYTES", 900)
     assert {r.page_id: r.text for r in extract(docs).collect()} == whole
     assert len(whole) == 150 and all(whole[k] == own(k, "w") for k in range(120) if k not in (7, 77))
     assert all(whole[k].startswith("plate") for k in range(120, 140))  # on 32 of 141 pages: under the share of the host
     assert whole[140] == own(7, "copy") and whole[149] == whole[140]
+
+
+def test_time_follows_length_whatever_is_left_open():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<" * 10**6, "<a " * 350_000, '<a "' * 250_000, "<a '\"" * 200_000 + ">", "<a " + "b" * 10**6 + ">", "<div>" * 50_000 + "</i>" * 50_000, "<a <a" * 200_000 + '"', "<!--" * 250_000):
+        blocks_of(page)
+    assert time.perf_counter() - began < 20
+    assert blocks_of('<p title="a>b">x</p><p title="y') == [("x", 1), ('<p title="y', 1)]
+
+
+def test_pages_without_host_share_no_runs(spark):
+    plate = " ".join(f"plate{j}" for j in range(20))
+    rows = [(k, url, f"<p>{plate}</p><p>own {k}</p>") for k, url in enumerate([None] * 5 + ["no host"] * 5 + ["http://h.example/"] * 5)]
+    texts = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(texts[k] == f"{plate}\nown {k}" for k in range(10)) and all(texts[k] == f"own {k}" for k in range(10, 15))
