@@ -201,14 +201,14 @@ def reference_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_DETECT} select norm_key, type, count(*) as citations, count(distinct doc_id) as documents from detected group by norm_key, type", "fx_ref_docs")
 def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = view(spark, sf_dir, "fx_ref_docs")
-    return references.citation_counts(references.detect(docs), docs)
+    return references.citation_counts(references.detect(view(spark, sf_dir, "fx_ref_docs")))
 
 
 @query("""with recursive e as (select distinct src, dst from fx_edges),
 p as (select src as root, dst as node, 1 as depth, [src, dst] as path, src = dst as cycle from e
   union all select p.root, e.dst, p.depth + 1, list_append(p.path, e.dst), list_contains(p.path, e.dst) from p join e on e.src = p.node where not p.cycle and p.depth < 12)
-select root, node, depth, array_to_string(path, '>') as path, case when cycle then 'Circular reference detected' end as error from p""", "fx_edges")
+select root, node, depth, array_to_string(path, '>') as path,
+  case when cycle then 'Circular reference detected' when depth = 12 and node in (select src from e) then 'Maximum depth reached' end as error from p""", "fx_edges")
 def reference_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.expand(view(spark, sf_dir, "fx_edges"), max_depth=12)
 
@@ -283,18 +283,16 @@ def page_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", attachments.page_text(F.col("text")).alias("cleaned"))
 
 
-@query(r"""with pages as (select doc_id // 3 as doc, doc_id as page_number, case doc_id % 4 when 0 then '  ' || substring(text, 1, 40) || ' ' when 1 then '' when 2 then substring(text, 1, 15) else '   ' end as text, doc_id % 2 as images from documents),
-g as (select doc as doc_id, count(*) as pages, cast(sum(images) as bigint) as image_count, cast(length(trim(string_agg(text, '' order by page_number), ' ' || chr(9) || chr(10) || chr(13))) as bigint) as text_length from pages group by doc)
+@query(r"""with pages as (select doc_id // 3 as doc, doc_id as page_number, coalesce(text, '') as text, doc_id % 2 as images from documents),
+g as (select doc as doc_id, count(*) as pages, cast(sum(images) as bigint) as image_count, cast(length(trim(string_agg(text, '' order by page_number), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160))) as bigint) as text_length from pages group by doc)
 select *, text_length > 50 as has_text, text_length > 100 as text_extractable,
   case when text_length <= 100 then case when image_count > 0 and text_length < 50 then 'PDF contains primarily image content with minimal extractable text' else 'PDF has limited extractable text content' end end as notification from g""")
 def pdf_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, words = F.col("doc_id"), F.col("text")
-    body = F.when(key % 4 == 0, F.concat(F.lit("  "), F.substring(words, 1, 40), F.lit(" "))).when(key % 4 == 1, "").when(key % 4 == 2, F.substring(words, 1, 15)).otherwise("   ")
-    pages = table(spark, sf_dir, "documents").select(F.floor(key / 3).alias("doc_id"), key.alias("page_number"), body.alias("text"), (key % 2).alias("images"))
+    key = F.col("doc_id")
+    pages = table(spark, sf_dir, "documents").select(F.floor(key / 3).alias("doc_id"), key.alias("page_number"), "text", (key % 2).alias("images"))
     return attachments.gate(pages)
 
 
-
 @query(f"""with n as (select distinct cast(l_linenumber + l_partkey % 23 as int) as n from lineitem), s as (select n, unnest([null, '1', 'A', 'a', 'I', 'i', 'x']) as style from n),
 tens as (select n, repeat('X', cast(n // 10 as int)) || case n % 10 when 0 then '' when 1 then 'I' when 2 then 'II' when 3 then 'III' when 4 then 'IV' when 5 then 'V' when 6 then 'VI' when 7 then 'VII' when 8 then 'VIII' else 'IX' end as r from n)
 select s.n, s.style, case style when 'A' then chr(64 + s.n) when 'a' then chr(96 + s.n) when 'I' then r when 'i' then lower(r) else cast(s.n as varchar) end || '.' as label from s join tens using (n)""")

@@ -45,7 +45,9 @@ select o_orderkey as doc_id,
 from orders
 """,
     "fx_edges": r"""
-select distinct o_orderkey % 60 as src, (o_orderkey * 7 + 3) % 61 as dst from orders where o_orderkey < 90
+select o_orderkey as src, o_orderkey - o_orderkey % 10 + (o_orderkey * 7 + 3) % 10 as dst from orders
+union select o_orderkey, o_orderkey - o_orderkey % 10 + (o_orderkey + 4) % 10 from orders where o_orderkey % 3 = 0
+union select o_orderkey, o_orderkey + 10 from orders where o_orderkey % 10 = 0 and o_orderkey % 200 < 190
 """,
     "fx_grid_cells": r"""
 select l_orderkey as grid_id, l_linenumber as r,
