@@ -46,8 +46,8 @@ from orders
 """,
     "fx_edges": r"""
 select o_orderkey as src, o_orderkey - o_orderkey % 10 + (o_orderkey * 7 + 3) % 10 as dst from orders
-union select o_orderkey, o_orderkey - o_orderkey % 10 + (o_orderkey + 4) % 10 from orders where o_orderkey % 3 = 0
-union select o_orderkey, o_orderkey + 10 from orders where o_orderkey % 10 = 0 and o_orderkey % 200 < 190
+union select o_orderkey, o_orderkey - o_orderkey % 10 + (o_orderkey + 4) % 10 from orders where o_orderkey % 9 = 0
+union select o_orderkey, o_orderkey + 10 from orders where o_orderkey % 10 = 0 and o_orderkey % 300 < 200
 """,
     "fx_grid_cells": r"""
 select l_orderkey as grid_id, l_linenumber as r,
