@@ -56,3 +56,27 @@ def rows_of(batches: Iterator, columns: list[str], most: int = 512) -> Iterator[
         for at in range(0, batch.num_rows, most):
             part = batch.slice(at, most)
             yield tuple(part.column(c).to_pylist() for c in columns)
+
+
+def without_rows(docs: DataFrame, keys: list[Column], gone: DataFrame, several: DataFrame, broadcast_rows: int) -> DataFrame:
+    """docs without the rows whose keys (null-safe) are a row of gone, and with one row of those whose keys are a row of several.
+
+    Columns and all other rows are as they were, whatever the columns are called.  gone and several have as many columns as keys.
+    Small ones are broadcast, so texts do not move; larger ones meet the rows in a shuffle.
+    """
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], *[key.alias(f"k{k}") for k, key in enumerate(keys)])
+
+    def joined(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
+        right = right.toDF(*[f"r{k}" for k in range(len(keys))])
+        right = F.broadcast(right) if right.count() <= broadcast_rows else right
+        on = F.lit(True)
+        for k in range(len(keys)):
+            on = on & F.col(f"k{k}").eqNullSafe(F.col(f"r{k}"))
+        return left.join(right, on, kind)
+
+    left = joined(rows, gone, "left_anti")
+    if not several.isEmpty():
+        one = joined(left, several, "left_semi").dropDuplicates([f"k{k}" for k in range(len(keys))])
+        left = joined(left, several, "left_anti").unionByName(one)
+    return left.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])

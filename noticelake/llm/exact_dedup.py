@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm._shared import WHITE, partitions, written
+from noticelake.llm._shared import WHITE, partitions, without_rows, written
 
 #: Repeated fingerprints (8 bytes each) up to which the rows to verify are found by a broadcast; beyond, by a shuffled join.
 BROADCAST_FINGERPRINTS = 2_000_000
@@ -112,9 +112,10 @@ def repeated_fingerprints(rows: DataFrame, slices: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            held.append((batch.column("fp").to_numpy().view(np.uint64), batch.column("copies").to_numpy()))
-            if sum(len(x) for x, _ in held) > 1_000_000:
-                held = [add_up(*(np.concatenate(x) for x in zip(*held)))]
+            new = add_up(batch.column("fp").to_numpy().view(np.uint64), batch.column("copies").to_numpy())
+            while held and len(held[-1][0]) <= 2 * len(new[0]):  # sizes stay geometric
+                new = add_up(*(np.concatenate(x) for x in zip(held.pop(), new)))
+            held.append(new)
         if not held:
             return
         fps, counts = add_up(*(np.concatenate(x) for x in zip(*held)))
@@ -178,19 +179,12 @@ def find_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows that find_copies() does not keep; columns and all other rows are as they were.
+    """docs without the rows that find_copies() does not keep; columns, whatever they are called, and all other rows are as they were.
 
-    Only rows of groups are touched: their (id, digest) pairs decide, and of rows equal in both one stays.
+    Only rows of groups are touched: their (id, digest) pairs decide, and of rows equal in both one stays.  Null and empty texts
+    are one group; a null id is an id like any other, after all others; the same id with different texts stays once for each.  No rows: no rows.
     """
     copies = find_copies(docs, id_column, text_column)
     groups = written(copies.filter("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "exact-decisions")
-    digest, key = "__text_sha256", "__id"
-    gone = groups.filter("not kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest))
-    rows = docs.withColumns({digest: F.sha2(normalised(text_column), 256), key: F.col(id_column)})
-    few = gone.count() <= BROADCAST_FINGERPRINTS // 4
-    left = rows.join(F.broadcast(gone) if few else gone, (rows[digest] == gone[digest]) & rows[key].eqNullSafe(gone[key]), "left_anti")
-    if not groups.filter("kept and rows > 1").isEmpty():
-        twice = groups.filter("kept and rows > 1").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest))
-        on = (left[digest] == twice[digest]) & left[key].eqNullSafe(twice[key])
-        left = left.join(twice, on, "left_anti").unionByName(left.join(twice, on, "left_semi").dropDuplicates([key, digest]))
-    return left.drop(digest, key)
+    keys = [F.col(id_column), F.sha2(normalised(text_column), 256)]
+    return without_rows(docs, keys, groups.filter("not kept").select("doc_id", "text_sha256"), groups.filter("kept and rows > 1").select("doc_id", "text_sha256"), BROADCAST_FINGERPRINTS // 4)

@@ -10,19 +10,27 @@ found is verified by the exact Hamming distance.
 
 Links leave a task as a spanning forest of what it verified, so a dense group gives a row per fingerprint and not per
 pair, and components are completed by alternating large-star and small-star rounds.
+
+One fingerprint of a whole text tells near copies only while few bits differ.  For near copies by similarity
+(``near_copies``) a text has several fingerprints, each of a small min-wise sample of its word shingles: that of one is the
+same for two texts whenever they share the sample.  All go through the same grid join, and texts that meet in any are
+verified by the exact Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from noticelake.llm._shared import partitions, rows_of, written
+from noticelake.llm._shared import WHITE, partitions, rows_of, without_rows, written
+from noticelake.sources.scratch import Rounds
 
 SHINGLE = 3
 SEED = 42
@@ -30,6 +38,13 @@ SEED = 42
 BITS = 2
 FINE, COARSE = 16, 4
 PER = FINE // COARSE
+#: Near copies by similarity: words of a shingle, least Jaccard similarity, fingerprints of a text, shingles that each is made of,
+#: and the bits by which these may differ.  Texts at the least similarity meet with a probability of 1 - (1 - 0.8**5)**12 = 0.99.
+WORDS = 5
+SIMILARITY = 0.8
+TABLES, FEATURES = 12, 5
+TABLE_BITS = 1
+BROADCAST_ROWS = 500_000
 #: Candidate pairs that a task verifies at a time.
 PAIR_BLOCK = 4_000_000
 
@@ -67,8 +82,6 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             fps = np.array([simhash(x, shingle) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "fp": fps}, schema=pa.schema([("doc_id", batch_type), ("fp", pa.int64())]))
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     batch_type = to_arrow_type(source.schema["doc_id"].dataType)
     return source.mapInArrow(run, f"doc_id {kind}, fp bigint")
 
@@ -95,17 +108,22 @@ def offsets(dimensions: int, length: int) -> list[tuple[int, ...]]:
     return sorted(v for v in found if sum(map(abs, v)) <= length)
 
 
-#: Of opposite coarse offsets the one whose first nonzero is positive.
-COARSE_OFFSETS = [v for v in offsets(COARSE, BITS) if next((x for x in v if x), 1) > 0]
+def coarse_offsets(bits: int) -> list[tuple[int, ...]]:
+    """Of opposite coarse offsets up to a length the one whose first nonzero is positive."""
+    return [v for v in offsets(COARSE, bits) if next((x for x in v if x), 1) > 0]
+
 
+COARSE_OFFSETS = coarse_offsets(BITS)
 
-def fine_steps() -> list[np.ndarray]:
+
+def fine_steps(bits: int = BITS) -> list[np.ndarray]:
     """For each coarse offset, what to subtract from a visitor's packed fine counts to reach hosts it may link to."""
-    steps: list[list[int]] = [[] for _ in COARSE_OFFSETS]
-    place = {v: k for k, v in enumerate(COARSE_OFFSETS)}
-    for v in offsets(FINE, BITS):
+    coarse = coarse_offsets(bits)
+    steps: list[list[int]] = [[] for _ in coarse]
+    place = {v: k for k, v in enumerate(coarse)}
+    for v in offsets(FINE, bits):
         k = place.get(tuple(sum(v[PER * c : PER * (c + 1)]) for c in range(COARSE)))
-        if k is not None and (any(COARSE_OFFSETS[k]) or next((x for x in v if x), 1) > 0):
+        if k is not None and (any(coarse[k]) or next((x for x in v if x), 1) > 0):
             steps[k].append(sum(x << (4 * i) for i, x in enumerate(v)) % (1 << 64))
     return [np.array(x, np.uint64) for x in steps]
 
@@ -130,20 +148,20 @@ def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[other], nodes[label[other]]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints in column fp that join all that lie within BITS bits.
+def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (u, v) between the distinct fingerprints in column fp that join all that lie within so many bits.
 
-    Every pair within BITS is verified in some task; returned are forests with the same components.
+    Every pair within them is verified in some task; returned are forests with the same components.
     """
     spark = distinct.sparkSession
-    n = partitions(spark, 2)
+    n, coarse = partitions(spark, 2), coarse_offsets(bits)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.array([(17**c) for c in range(COARSE)])
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
             counts = coarse_counts(fps)
-            for k, v in enumerate(COARSE_OFFSETS):
+            for k, v in enumerate(coarse):
                 cell = counts - np.array(v)
                 inside = ((cell >= 0) & (cell <= 16)).all(1)
                 yield pa.RecordBatch.from_arrays([pa.array(cell[inside] @ base, pa.int32()), pa.array(np.full(inside.sum(), k, np.int8)), pa.array(fps[inside].view(np.int64))], ["cell", "step", "fp"])
@@ -154,12 +172,12 @@ def links(distinct: DataFrame) -> DataFrame:
             return
         cells, step, fps = (np.concatenate(x) for x in zip(*held))
         fps = fps.view(np.uint64)
-        still = next(k for k, v in enumerate(COARSE_OFFSETS) if not any(v))
+        still = next(k for k, v in enumerate(coarse) if not any(v))
         hosts = np.unique(fps[step == still])
         order = np.argsort(segment_counts(hosts), kind="stable")
         hosts = hosts[order]
         fine = segment_counts(hosts)  # a fine cell lies in one coarse cell, so the coarse one needs no test
-        for k, steps in enumerate(fine_steps()):
+        for k, steps in enumerate(fine_steps(bits)):
             visitors = fps[step == k]
             own = segment_counts(visitors)
             held_a, held_b, size = [], [], 0
@@ -172,7 +190,7 @@ def links(distinct: DataFrame) -> DataFrame:
                     m = many[part]
                     pick = np.repeat(low[part] - np.concatenate([[0], np.cumsum(m)[:-1]]).astype(np.int64), m) + np.arange(m.sum())
                     x, y = np.repeat(visitors[part], m), hosts[pick]
-                    near = (np.bitwise_count(x ^ y) <= BITS) & (x != y)
+                    near = (np.bitwise_count(x ^ y) <= bits) & (x != y)
                     held_a.append(x[near]), held_b.append(y[near])
                     size += int(near.sum())
                     if size > PAIR_BLOCK:
@@ -231,15 +249,123 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return base.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; columns as they were.
+def shingles(norm: str, words: int = WORDS) -> np.ndarray:
+    """Hashes of a normalised text's distinct word shingles, ascending; of a shorter text the whole, of an empty one none."""
+    import xxhash
 
-    Only ids move: the texts are joined with the ids to drop, broadcast while those are few and shuffled otherwise.
+    raw = norm.encode("utf-8", "surrogatepass")
+    ends = [*(m.start() for m in re.finditer(b" ", raw)), len(raw)]
+    if not raw or len(ends) <= words:
+        return np.array([xxhash.xxh64_intdigest(raw, SEED)] if raw else [], np.uint64)
+    starts = [0, *(e + 1 for e in ends)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(raw[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])], np.uint64))
+
+
+def sampled_fingerprints(found: np.ndarray, tables: int = TABLES, features: int = FEATURES) -> np.ndarray:
+    """Majority fingerprints, one for each of so many orders of the shingles, of the first few shingles in that order."""
+    multipliers = (np.random.default_rng(SEED).integers(0, 2**63, tables, np.uint64) << np.uint64(1)) | np.uint64(1)
+    out = []
+    for at in range(0, tables, 4):  # few at a time: long texts have many shingles
+        x = found[None, :] * multipliers[at : at + 4, None]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        if x.shape[1] > features:
+            x = np.ascontiguousarray(np.partition(x, features - 1, axis=1)[:, :features])
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1, 8), axis=2, bitorder="little")
+        out.append(np.packbits(2 * bits.sum(1, dtype=np.int64) > x.shape[1], axis=1, bitorder="little").view("<u8").ravel())
+    return np.concatenate(out)
+
+
+def words_only(column: str) -> Column:
+    """The text's words, A-Z lower-cased, joined by blanks; null is empty."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(column), F.lit("")), upper, upper.lower()), WHITE, " "))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, hashes) have at least that Jaccard similarity, counted exactly."""
+    own = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b")
+    shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    counted = both.select("a", "b", shared.alias("shared"), (F.size("hashes_a") + F.size("hashes_b")).alias("sizes"))
+    return counted.filter(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES, features: int = FEATURES) -> DataFrame:
+    """One row per row of docs: doc_id, node (a digest of the words) and root, one node of each group of near copies.
+
+    Texts with the same words are one node, so those without words are.  Nodes that share a cell of near fingerprints are
+    candidates; those of at least that Jaccard similarity of shingles of so many words are linked, and a group is what links
+    reach.  Repeated rows each keep their row; ids, null or not, are not looked at; other columns are not read.  No rows: no rows.
+
+    Within a cell the first 1, 2, 4, ... nodes, in an order of its own, in turn meet all others that are left; a node that is
+    linked leaves the cell, so a cell of copies of one text costs a pair for each, and every pair of nodes that stay is verified.  Cells hold
+    digests and sizes; shingles are read again for the nodes of cells alone, and a pair is verified once.
+    """
+    source = docs.select(F.col(id_column).alias("doc_id"), words_only(text_column).alias("norm"))
+    source = source.withColumn("node", F.unhex(F.md5("norm")))
+    kind = source.schema["doc_id"].dataType
+    base_schema = pa.schema([("doc_id", to_arrow_type(kind)), ("node", pa.binary()), ("size", pa.int32()), ("fps", pa.list_(pa.int64()))])
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, nodes, norms in rows_of(batches, ["doc_id", "node", "norm"]):
+            found = [shingles(x, words) for x in norms]
+            fps = [sampled_fingerprints(x, tables, features).view(np.int64) if len(x) else None for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((ids, nodes, [len(x) for x in found], fps), base_schema)], schema=base_schema)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, norms in rows_of(batches, ["node", "norm"]):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([shingles(x, words).view(np.int64) for x in norms], pa.list_(pa.int64()))], ["node", "hashes"])
+
+    base = written(source.mapInArrow(sample, f"doc_id {kind.simpleString()}, node binary, size int, fps array<bigint>"), "near-base")
+    cells = written(base.filter("fps is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps")).select("node", "size", F.explode("fps").alias("cell")).distinct(), "near-cells")
+    joined = components(links(cells.select(F.col("cell").alias("fp")).distinct(), TABLE_BITS)).select(F.col("node").alias("cell"), "root")
+    joined = F.broadcast(joined) if joined.count() <= BROADCAST_ROWS else joined
+    cells = cells.join(joined, "cell", "left").select("node", "size", F.coalesce("root", "cell").alias("cell")).distinct()
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("cell")
+    active = written(cells.join(shared, "cell").withColumn("place", F.xxhash64("cell", "node")), "near-active")
+    wanted = written(active.select("node").distinct(), "near-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = written(source.join(wanted, "node", "left_semi").select("node", "norm").dropDuplicates(["node"]).mapInArrow(hashed, "node binary, hashes array<bigint>"), "near-sets")
+
+    spark = docs.sparkSession
+    tried, linked = Rounds(spark, "near-tried"), Rounds(spark, "near-linked")
+    many = 1
+    while not active.isEmpty():
+        first = active.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("place", "node"))).filter(F.col("nth") <= many)
+        first = written(first.select("cell", F.col("node").alias("first"), F.col("place").alias("first_place"), F.col("size").alias("first_size")), "near-first")
+        after = F.struct("first_place", "first") < F.struct("place", "node")
+        near = F.least("size", "first_size") >= F.lit(similarity) * F.greatest("size", "first_size")
+        met = written(active.join(first, "cell").filter(after & near).select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"), "node", "cell"), "near-met")
+        pairs = met.select("a", "b").distinct()
+        new = pairs.join(tried.all(), ["a", "b"], "left_anti") if tried.count else pairs
+        linked.add(similar(tried.add(new), sets, similarity))
+        leave = met.join(linked.all(), ["a", "b"], "left_semi").select("cell", "node").union(first.select("cell", "first")).distinct()
+        left = active.join(leave, ["cell", "node"], "left_anti")
+        still = left.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("cell")
+        active, many = written(left.join(still, "cell", "left_semi"), "near-active"), 2 * many
+    if not linked.count:
+        return base.select("doc_id", "node", F.col("node").alias("root"))
+    groups = components(linked.all().select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return base.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near_copies(), that of the smallest id; columns, whatever they are called, as they were.
+
+    Of rows equal in id and words one stays; the same id with texts that are no near copies stays once for each; a null id
+    comes after all others; null and empty texts are one group.  No rows: no rows.  Only ids and digests move: the rows that go are
+    looked up in the texts, broadcast while they are few and shuffled otherwise.
     """
-    found = near_duplicates(docs, id_column, text_column, shingle)
-    gone = written(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    few = gone.count() <= 2_000_000
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_column).eqNullSafe(F.col("__gone")), "left_anti")
+    found = near_copies(docs, id_column, text_column, words, similarity)
+    rows = written(found.groupBy("doc_id", "node", "root").agg(F.count(F.lit(1)).alias("rows")), "near-rows")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
+    kept = rows.groupBy("root").agg(F.min(order).alias("kept")).select("root", F.col("kept.doc_id").alias("kept_id"), F.col("kept.node").alias("kept_node"))
+    decided = rows.join(kept, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node")))
+    decided = written(decided.filter("not kept or rows > 1").select("doc_id", "node", "kept"), "near-decided")
+    keys = [F.col(id_column), F.unhex(F.md5(words_only(text_column)))]
+    return without_rows(docs, keys, decided.filter("not kept").select("doc_id", "node"), decided.filter("kept").select("doc_id", "node"), BROADCAST_ROWS)
 
 
 def hexadecimal(column: str):

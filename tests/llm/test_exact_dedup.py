@@ -50,3 +50,10 @@ def test_drop_copies_keeps_columns_and_one_row(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert find_copies(docs).collect() == [] and drop_copies(docs).collect() == []
+
+
+def test_names_of_columns_do_not_matter(spark):
+    rows = [(1, "a b", 1, 2, 3), (2, "a  b", 4, 5, 6), (2, "a b", 4, 5, 6), (3, "c", 7, 8, 9), (3, "c", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __id int, __text_sha256 int, k0 int")
+    left = drop_copies(docs)
+    assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == [rows[0], rows[3]]

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from noticelake.llm.simhash import COARSE_OFFSETS, components, fine_steps, keep_one, near_duplicates, simhash, spanning_forest
+from noticelake.llm.simhash import COARSE_OFFSETS, components, fine_steps, keep_one, near_copies, near_duplicates, simhash, spanning_forest
 
 
 def plain(text):
@@ -53,8 +53,6 @@ def test_against_brute_force(spark):
     assert len(found) == len(rows)
     assert {r.doc_id: r.component_id for r in found} == expected
     assert {r.doc_id: r.fp % 2**64 for r in found} == fps
-    left = keep_one(docs)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(expected.values())
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
@@ -85,3 +83,49 @@ def test_components_of_a_path(spark):
 def test_spanning_forest():
     a, b = spanning_forest(np.array([5, 7, 1], np.uint64), np.array([7, 9, 2], np.uint64))
     assert dict(zip(a.tolist(), b.tolist())) == {7: 5, 9: 5, 2: 1}
+
+
+def jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        words = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    passage = [rng.choice(words) for _ in range(90)]
+    texts = [None, "", " \n", "One", "one", "a b c d", "A  b c d", "long " * 30000]
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(rng.randint(4, 300))] + passage * (rng.random() < 0.5)
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rows = [(k, x, k, "n", "g") for k, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node bigint, root string, __gone string").repartition(4)
+    found = {r.doc_id: r.root for r in near_copies(docs).collect()}
+    expected = reach(list(range(len(texts))), [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])
+    groups = {}
+    for k, root in found.items():
+        groups.setdefault(root, set()).add(k)
+    wanted = {}
+    for k, root in expected.items():
+        wanted.setdefault(root, set()).add(k)
+    mine, truth = ({frozenset(g) for g in x.values()} for x in (groups, wanted))
+    pairs = lambda gs: {(a, b) for g in gs for a in g for b in g if a < b}
+    assert pairs(mine) <= pairs(truth) and len(pairs(mine)) >= 0.97 * len(pairs(truth)) and len(pairs(truth)) > 50
+    left = keep_one(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {min(g) for g in groups.values()}
+    assert near_copies(docs.limit(0)).collect() == [] == keep_one(docs.limit(0)).collect()
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Repeated ids and rows, null ids: unique texts stay, of each group exactly one row does."""
+    a, b = " ".join(f"a{k}" for k in range(100)), " ".join(f"b{k}" for k in range(100))
+    rows = [(1, a), (3, a), (3, b), (5, a + " more"), (None, b + " more"), (None, "own text"), (7, "once"), (7, "once"), (8, None), (9, "")]
+    left = keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([(1, a), (3, b), (None, "own text"), (7, "once"), (8, None)], key=repr)
