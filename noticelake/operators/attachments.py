@@ -52,3 +52,13 @@ def tables(found: DataFrame) -> DataFrame:
     made = found.filter(grid.is_valid(F.col("rows"))).withColumn("t", grid.structured(F.col("rows"))).filter("t is not null")
     name = F.concat(F.lit("page_"), F.col("page_number").cast("string"), F.lit("_table_"), F.col("table_number").cast("string"))
     return made.select("doc_id", "page_number", "table_number", name.alias("table_id"), "t.*")
+
+
+def page_content(pages: DataFrame, structured: DataFrame) -> DataFrame:
+    """Content of pages in order: doc_id, page_number, ord, type (text or table), text, table_id.
+
+    Of pages (doc_id, page_number, text) the cleaned text comes first, if there is any; then the page's tables(), by their number.
+    """
+    texts = pages.select("doc_id", "page_number", F.lit(0).alias("ord"), F.lit("text").alias("type"), page_text(F.col("text")).alias("text"), F.lit(None).cast("string").alias("table_id")).filter("text is not null")
+    grids_ = structured.select("doc_id", "page_number", F.col("table_number").cast("int").alias("ord"), F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), "table_id")
+    return texts.unionByName(grids_)

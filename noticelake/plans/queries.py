@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import citation, grid, text
-from noticelake.operators import attachments, html, listing, references, summary
+from noticelake.operators import attachments, html, listing, notices, references, summary
 from noticelake.sources.fixtures import oracle, view
 
 QUERIES: dict = {}
@@ -107,10 +107,15 @@ def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLEAN = r"trim(regexp_replace(s, '\s+', ' ', 'g'))"
 
 
-@query(rf"""with c as (select k, s, case when length({_CLEAN}) >= 3 then {_CLEAN} end as cleaned from fx_dates)
-select k, cleaned, coalesce(nullif(regexp_extract(s, '(?i)(?:circular|letter)\s+no\.\s*(\d+)', 1), ''), nullif(regexp_extract(s, '(?i)no\.\s*(\d+)', 1), ''), nullif(regexp_extract(s, '(?i)(\d+)\s+of\s+\d{{4}}', 1), '')) as number,
+def _fields(source: str) -> str:
+    """Common table expressions: k, cleaned, number and date of source's column s."""
+    return rf"""c as (select k, s, case when length({_CLEAN}) >= 3 then {_CLEAN} end as cleaned from {source}),
+fields as (select k, cleaned, coalesce(nullif(regexp_extract(s, '(?i)(?:circular|letter)\s+no\.\s*(\d+)', 1), ''), nullif(regexp_extract(s, '(?i)no\.\s*(\d+)', 1), ''), nullif(regexp_extract(s, '(?i)(\d+)\s+of\s+\d{{4}}', 1), '')) as number,
   coalesce(nullif(regexp_extract(cleaned, '(\w+\s+\d{{1,2}},\s+\d{{4}})', 1), ''), nullif(regexp_extract(cleaned, '(\d{{1,2}}\s+\w+\s+\d{{4}})', 1), ''), nullif(regexp_extract(cleaned, '(\d{{1,2}}/\d{{1,2}}/\d{{4}})', 1), ''), nullif(regexp_extract(cleaned, '(\d{{4}}-\d{{2}}-\d{{2}})', 1), '')) as date
-from c""", "fx_dates")
+from c)"""
+
+
+@query(f"with {_fields('fx_dates')} select * from fields", "fx_dates")
 def number_and_date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
     return view(spark, sf_dir, "fx_dates").select("k", text.clean_date(s).alias("cleaned"), text.first_number(s).alias("number"), text.first_date(s).alias("date"))
@@ -159,6 +164,76 @@ def listing_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.notices(_rows(spark, sf_dir))
 
 
+_PAGED = "select *, row_number() over (partition by page_id order by row_idx) - 1 as nth from fx_listing_rows where page_id % 10 <> 3"
+
+
+def _listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing rows as pages: a menu's table, and the year's table of rows; one page in ten has no year in its address."""
+    rows = view(spark, sf_dir, "fx_listing_rows")
+    link = F.when(F.col("href") == "", F.col("cell2")).otherwise(F.concat(F.lit('<a href="'), F.regexp_replace("href", "^https://host.example", ""), F.lit('">'), "cell2", F.lit("</a>")))
+    line = F.concat(F.lit("<tr><td>"), "cell0", F.lit("</td><td>"), "cell1", F.lit("</td><td>"), link, F.lit("</td></tr>\n"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", line.alias("line")))), lambda x: x["line"]), "")
+    year = F.col("yr").cast("string")
+    body = rows.groupBy("page_id", "yr").agg(lines.alias("lines"))
+    page = F.concat(F.lit("<html><table><tr><td>menu</td></tr></table><table><caption>Circular list "), year, F.lit("</caption>"), "lines", F.lit("</table></html>"))
+    url = F.concat(F.lit("https://host.example/bprd/"), F.when(F.col("page_id") % 10 != 3, F.concat(year, F.lit("/"))).otherwise(""), F.lit("index.htm"))
+    return body.select("page_id", url.alias("url"), page.alias("html"))
+
+
+@query(rf"""with r as ({_PAGED})
+select page_id, cast(nth as int) as row_idx, trim(cell0) || trim(cell1) || trim(cell2) as row_text, trim(cell0) as first_cell, nullif(href, '') as href from r""", "fx_listing_rows")
+def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.listing_rows(_listing_pages(spark, sf_dir))
+    return found.select("page_id", "row_idx", "row_text", F.element_at("cells", 1).alias("first_cell"), F.get("links", F.lit(0))["href"].alias("href"))
+
+
+@query(f"with {_NOTICES} select page_id, kind, cast(pos as int) as pos, id_text, title, date_text, url from notices where page_id % 10 <> 3", "fx_listing_rows")
+def listing_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.notices(html.listing_rows(_listing_pages(spark, sf_dir)))
+
+
+@query(f"""with h as (select k, case when k % 4 = 3 then '' else substring(case k % 3 when 0 then '' when 1 then repeat('ab ', 160) else repeat('ab ', 170) end || coalesce(s, ''), 1, 500) end as s from fx_dates),
+{_fields('h')} select k, number, date from fields""", "fx_dates")
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and date of notices from the start of their first wide table; every fourth has none."""
+    dates = view(spark, sf_dir, "fx_dates")
+    pad = F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, "ab " * 160).otherwise("ab " * 170)
+    width = F.when(F.col("k") % 4 == 3, "80%").otherwise("95%")
+    page = F.concat(F.lit('<table width="'), width, F.lit('"><tr><td>'), pad, F.coalesce("s", F.lit("")), F.lit("</td></tr></table><table width='95%'></table>"))
+    parts = html.notice_parts(dates.select(F.lit(0).cast("bigint").alias("page_id"), F.col("k").cast("string").alias("url"), page.alias("html")))
+    return parts.select(F.col("url").cast("bigint").alias("k"), text.first_number(F.col("header")).alias("number"), text.first_date(F.col("header")).alias("date"))
+
+
+_BODY = "Please refer to BSD Circular Letter No. 0{n} of 2005 and ABC Circular 3 of 2010. " + "Filler words stand here. " * 50
+
+
+@query(f"""with {_NOTICES},
+numbered as (select notices.*, 2000 + page_id % 20 as year, cast(regexp_extract(url, '([0-9]+)[.]htm', 1) as int) as num from notices),
+paged as (select *, num % 3 <> 0 as found from numbered),
+docs as (select page_id, kind, cast(pos as int) as pos, url, found,
+    case when found and (id_text is null or id_text = '' or regexp_matches(id_text, '^[0-9]+$')) then 'BPRD Circular ' || case when kind = 'circular_letter' then 'Letter ' else '' end || 'No. 0' || cast(num % 7 as varchar) || ' of ' || cast(year as varchar) else id_text end as id_text,
+    case when found then 'January 5, 2014' else date_text end as date_text,
+    case when found then '[{{"type": "content", "text": "' || trim(replace('{_BODY}', '{{n}}', cast(num % 7 as varchar))) || '"}}]' end as content, num from paged),
+refs as (select 0 as ref, 'circular' as ref_type union all select 1, 'circular_letter' union all select 2, 'pdf')
+select docs.* exclude (num), refs.ref, refs.ref_type, case refs.ref when 0 then 'ABC Circular 3 of 2010' when 1 then 'BSD Circular Letter No. 0' || cast(num % 7 as varchar) || ' of 2005' when 2 then 'Annex ' || cast(num as varchar) end as ref_title,
+  case when refs.ref = 2 then 'https://host.example/files/a' || cast(num as varchar) || '.PDF' end as ref_url from docs left join refs on docs.found""", "fx_listing_rows")
+def notice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices of the listing with their pages, of which every third is unknown: IDs and dates from the header (a number after Letter goes before any
+    other there), blocks, references."""
+    listed = listing.notices(_rows(spark, sf_dir)).withColumns({"notice": F.concat_ws("/", "page_id", "kind", "pos"), "dept": F.lit("bprd"), "year": 2000 + F.col("page_id") % 20})
+    number = F.regexp_extract("url", "([0-9]+)[.]htm", 1)
+    known = listed.select("url").distinct().withColumn("n", number).filter(F.col("n").cast("int") % 3 != 0)
+    body = F.replace(F.lit(_BODY), F.lit("{n}"), (F.col("n").cast("int") % 7).cast("string"))
+    page = F.concat(
+        F.lit('<table width="95%"><tr><td>Ref No. '), "n", F.lit(" Karachi, January 5, 2014</td></tr><tr><td><blockquote><p>"), body, F.lit("</p></blockquote></td></tr></table>"),
+        F.lit('<p><a href="/files/a'), "n", F.lit('.PDF">Annex  '), "n", F.lit("</a> <a href='x.htm'>other</a></p>"),
+    )
+    parts = html.notice_parts(known.select(F.lit(0).cast("bigint").alias("page_id"), "url", page.alias("html")))
+    found = notices.assemble(listed, parts)
+    flat = found.select("page_id", "kind", "pos", "url", "found", "id_text", "date_text", "content", F.posexplode_outer("references").alias("ref", "reference"))
+    return flat.select(*flat.columns[:-1], F.col("reference.type").alias("ref_type"), F.col("reference.title").alias("ref_title"), F.col("reference.url").alias("ref_url"))
+
+
 @query(r"""with l as (select 'd' || cast(o_custkey % 7 as varchar) as dept, o_orderkey as pos, '/x/' || case when o_orderkey % 3 = 0 then cast(1990 + o_orderkey % 35 as varchar) else '20' || cast(10 + o_orderkey % 9 as varchar) end || case when o_orderkey % 5 = 0 then '/main.htm' else '/index.html' end as href, case when o_orderkey % 4 = 0 then 'Year 2003' else '' end as text from orders),
 y as (select dept, pos, href, regexp_extract(href || text, '20\d{2}') as year from l where contains(href, '20') and contains(href, 'index.htm')),
 g as (select dept, year, arg_min(href, pos) as href from y where year <> '' group by dept, year)
@@ -222,6 +297,20 @@ def department_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.by_department(found.select(dept.alias("dept"), year.alias("year"), "kind"))
 
 
+@query(f"""with {_NOTICES}, n as (select 'd' || cast(page_id % 6 as varchar) as dept, cast(2000 + page_id % 20 as varchar) as year, kind, url from notices),
+g as (select dept, year, cast(count(*) filter (where kind = 'circular') as int) as circulars, cast(count(*) filter (where kind = 'circular_letter') as int) as letters, count(distinct url) as addresses from n group by dept, year)
+select *, circulars as total_circulars, letters as total_circular_letters from g""", "fx_listing_rows")
+def department_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested documents of departments, as a reader of their JSON finds them: sizes of the lists, distinct addresses, the totals they state."""
+    found = listing.notices(_rows(spark, sf_dir))
+    dept, year = F.concat(F.lit("d"), (F.col("page_id") % 6).cast("string")), (2000 + F.col("page_id") % 20).cast("string")
+    made = summary.documents(found.select(dept.alias("dept"), year.alias("year"), "kind", "pos", "title", "id_text", "date_text", "url"))
+    lists = "circulars array<struct<url:string>>, circular_letters array<struct<url:string>>, summary struct<total_circulars:int,total_circular_letters:int>"
+    years = made.select("dept", F.explode(F.from_json("document", f"years map<string,struct<{lists.replace(' array', ':array').replace(' struct<total', ':struct<total')}>>")["years"]).alias("year", "of"))
+    addresses = F.size(F.array_distinct(F.transform(F.concat("of.circulars", "of.circular_letters"), lambda x: x["url"]))).cast("bigint")
+    return years.select("dept", "year", F.size("of.circulars").alias("circulars"), F.size("of.circular_letters").alias("letters"), addresses.alias("addresses"), "of.summary.total_circulars", "of.summary.total_circular_letters")
+
+
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = view(spark, sf_dir, "fx_grid_cells").select("grid_id", "r", F.array("c1", "c2", "c3", "c4").alias("cells"))
     return attachments.grids(cells)
@@ -276,6 +365,25 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("grid_id", "row_no", F.explode("row").alias("name", "value"))
 
 
+@query(f"""with {_GRID}, t as (select grid_id, max(spot) as width, max(line) as height from clean group by grid_id),
+v as (select t.grid_id, t.width from t join sizes s using (grid_id) where s.height >= 2 and s.filled / s.n >= 0.3)
+select grid_id as doc_id, grid_id % 3 + 1 as page_number, 1 as ord, 'table' as type, cast(null as varchar) as text, 'page_' || cast(grid_id % 3 + 1 as varchar) || '_table_1' as table_id from v
+union all select doc_id, doc_id % 3 + 1, 0, 'text', text, null from fx_ref_docs""", "fx_grid_cells", "fx_ref_docs")
+def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of pages and their valid tables, in the order that a page has them."""
+    at = lambda key: (F.col(key) % 3 + 1).alias("page_number")
+    pages = view(spark, sf_dir, "fx_ref_docs").select("doc_id", at("doc_id"), "text")
+    found = attachments.tables(_grids(spark, sf_dir).select(F.col("grid_id").alias("doc_id"), at("grid_id"), F.lit(1).alias("table_number"), "rows"))
+    return attachments.page_content(pages, found)
+
+
+@query(f"""with {_GRID}, w as (select grid_id, max(spot) as width, max(line) as height from clean group by grid_id)
+select w.grid_id, cast(w.width as int) as column_count, cast(w.height as int) as clean_rows from w""", "fx_grid_cells")
+def grid_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _grids(spark, sf_dir).select("grid_id", grid.structured(F.col("rows")).alias("t"), F.size(grid.cleaned(F.col("rows"))).alias("clean_rows")).filter("t is not null")
+    return made.select("grid_id", "t.column_count", "clean_rows")
+
+
 @query(r"""with l as (select doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(160) || chr(133)) as line, generate_subscripts(string_split(text, chr(10)), 1) as spot from documents),
 j as (select doc_id, string_agg(line, chr(10) order by spot) as cleaned from l where line <> '' group by doc_id)
 select d.doc_id, j.cleaned from documents d left join j using (doc_id)""")

@@ -84,3 +84,36 @@ def test_reach_of_a_long_chain(spark, tmp_path):
     assert found == {(a, b) for a in range(n) for b in range(a + 1, n + 1)}
     with pytest.raises(ValueError):
         references.reachable(edges, max_rounds=3)
+
+
+def test_null_titles_are_errors_not_lost(spark):
+    titles = spark.createDataFrame([(1, None), (2, "BPRD Circular No. 5 of 2012"), (3, "nothing"), (4, None)], "k bigint, title string")
+    known = spark.createDataFrame([("https://host.example/bprd/2012/C05.htm",)], "url string")
+    found = {r.k: (r.url, r.error) for r in references.resolve(titles, known).collect()}
+    assert found == {1: (None, references.ERRORS["parse"]), 2: ("https://host.example/bprd/2012/C05.htm", None), 3: (None, references.ERRORS["parse"]), 4: (None, references.ERRORS["parse"])}
+
+
+def test_paths_cut_at_the_depth_are_marked(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(6)], "src bigint, dst bigint")
+    found = references.expand(edges, spark.createDataFrame([(0,), (3,)], "root bigint"), max_depth=3).collect()
+    assert sorted((r.root, r.path, r.error) for r in found if r.depth == 3) == [(0, "0>1>2>3", references.TOO_DEEP), (3, "3>4>5>6", None)]
+
+
+def test_expansion_follows_pages_until_nothing_is_new(spark):
+    url = "https://host.example/bprd/2012/C{:02d}.htm"
+    cite = "Refer to BPRD Circular No. {} of 2012."
+    pages = spark.createDataFrame([(url.format(k), cite.format(k + 1) + " " + cite.format(k)) for k in range(1, 4)] + [(url.format(4), cite.format(1) + " and XYZ Circular 9 of 2012")], "url string, text string")
+    titles = spark.createDataFrame([("BPRD Circular No. 1 of 2012",), (None,), ("BPRD Circular No. 1 of 2012",)], "title string")
+    met, edges = references.citation_graph(titles, pages)
+    named = "BPRD Circular No. {} of 2012".format
+    assert sorted((r.src, r.dst) for r in edges.collect()) == sorted([*((named(k), named(k + 1)) for k in range(1, 4)), (named(4), named(1)), (named(4), "XYZ Circular 9 of 2012")])
+    errors = {r.title: r.error for r in met.collect()}
+    assert errors == {**{named(k): None for k in range(1, 5)}, None: references.ERRORS["parse"], "XYZ Circular 9 of 2012": references.ERRORS["department"] + "XYZ"}
+    paths = references.expand(edges, titles.filter("title is not null").distinct().withColumnRenamed("title", "root")).collect()
+    assert {r.error for r in paths if r.depth == 4} == {references.CYCLE, None} and max(r.depth for r in paths) == 4
+    assert [x.collect() for x in references.citation_graph(titles.limit(0), pages)] == [[], []]
+
+
+def test_department_of_url(spark):
+    rows = spark.createDataFrame([("https://host.example/ACD/index.htm",), ("https://host.example/",), ("other",), (None,)], "url string")
+    assert [r[0] for r in rows.select(citation.department_of_url(F.col("url"))).collect()] == ["acd", None, None, None]

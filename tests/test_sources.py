@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from noticelake.operators import summary
-from noticelake.sources import departments, files
+from noticelake.sources import departments, fetch, files
 from noticelake.streaming import pages
 
 
@@ -30,3 +30,34 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
     pages.block_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert sorted(r.type for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["content", "list"]
+
+
+def test_fetching(spark):
+    def get(url, headers, timeout):
+        get.seen = {**getattr(get, "seen", {}), url: getattr(get, "seen", {}).get(url, 0) + 1}
+        if url == "down":
+            raise ConnectionError("no route")
+        if url == "late" and get.seen[url] < 3:
+            return 520, b""
+        return (404, b"") if url == "gone" else (200, b"%PDF-1.4 " + headers["User-Agent"].encode() if url != "page" else b"<html>")
+
+    urls = spark.createDataFrame([("down",), ("late",), ("gone",), ("page",), ("ok",), (None,)], "url string").coalesce(1)
+    found = {r.url: r for r in fetch.fetched(urls, get, attempts=4, pause=0, mark=fetch.PDF_MARK, wait=lambda s: None).collect()}
+    assert found["late"].tries == 3 and found["late"].error is None and bytes(found["ok"].content).startswith(b"%PDF-1.4 Mozilla")
+    assert {k: r.error for k, r in found.items() if r.error} == {"down": "ConnectionError: no route", "gone": "status 404", "page": "other content", None: "no address"}
+
+    def read(content):
+        return [(content.decode()[5:], 1, [[["a", "b"], ["c", None]]]), (None, 0, [])]
+
+    files_ = spark.createDataFrame([("u", b"%PDF-x"), ("bad", b"\xff"), ("none", None)], "url string, content binary")
+    pages = {(r.url, r.page_number): r for r in fetch.pdf_pages(files_, read).collect()}
+    assert pages["u", 1].text == "x" and pages["u", 1].tables == [[["a", "b"], ["c", None]]] and pages["u", 2].text is None
+    assert pages["bad", None].error.startswith("UnicodeDecodeError") and pages["none", None].error == "ValueError: no content"
+
+
+def test_references_meet_their_attachments(spark):
+    from noticelake.operators.notices import with_attachments
+
+    refs = spark.createDataFrame([("n1", "u1"), ("n1", "u2"), ("n2", "u1")], "notice string, url string")
+    known = spark.createDataFrame([("u1", 3, True, None)], "url string, pages int, text_extractable boolean, notification string")
+    assert sorted((r.notice, r.url, r.pages) for r in with_attachments(refs, known).collect()) == [("n1", "u1", 3), ("n1", "u2", None), ("n2", "u1", 3)]
