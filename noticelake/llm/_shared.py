@@ -1,40 +1,18 @@
-"""What the operators of this package share: scratch tables in the cluster's shared folder, CRC splits, text rules."""
+"""What the operators of this package share: text rules, CRC splits, rows of batches, the removal of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.sources.scratch import shared_dir, written  # noqa: F401  for the package's modules
+
 #: White space as the contracts define it: space, and U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (a local session, as in tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="noticelake-"))
-    return _own_dir[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs a reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions of the session: the one setting that a cluster sizes to its input."""

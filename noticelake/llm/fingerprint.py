@@ -34,6 +34,8 @@ COMMON = 790
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
 HASHES = 5
+#: Pairs of filters that are compared at a time.
+PAIR_BLOCK = 1 << 18
 #: Bytes of text whose windows are looked at together.
 CHUNK_BYTES = 1 << 18
 
@@ -136,15 +138,18 @@ def likeness(a: Digest, b: Digest) -> float:
         return float(len(a.filters) == len(b.filters))
     if a.filters.shape == b.filters.shape and (a.filters == b.filters).all():
         return 1.0
-    common = np.stack([np.bitwise_count(row & b.words).sum(1) for row in a.words]).astype(float)
-    chance = a.set_bits[:, None] * b.set_bits[None, :] / FILTER_BITS
-    most = np.minimum(a.set_bits[:, None], b.set_bits[None, :]).astype(float)
-    match = np.clip((common - chance) / np.maximum(most - chance, 1.0), 0.0, 1.0)
-    # a small filter within a large one covers no more of it than it has
-    share = np.minimum(1.0, b.counts[None, :] / a.counts[:, None])
-    ahead = (match * share).max(1) @ a.counts
-    back = (match * np.minimum(1.0, a.counts[:, None] / b.counts[None, :])).max(0) @ b.counts
-    return float(min(1.0, (ahead + back) / (a.counts.sum() + b.counts.sum())))
+    step = max(1, PAIR_BLOCK // len(b.words))  # filters of a that meet all of b's at a time
+    ahead, back = 0.0, np.zeros(len(b.counts))
+    for at in range(0, len(a.words), step):
+        words, set_bits, counts = a.words[at : at + step], a.set_bits[at : at + step, None], a.counts[at : at + step, None]
+        common = np.stack([np.bitwise_count(row & b.words).sum(1) for row in words]).astype(float)
+        chance = set_bits * b.set_bits[None, :] / FILTER_BITS
+        most = np.minimum(set_bits, b.set_bits[None, :]).astype(float)
+        match = np.clip((common - chance) / np.maximum(most - chance, 1.0), 0.0, 1.0)
+        # a small filter within a large one covers no more of it than it has
+        ahead += (match * np.minimum(1.0, b.counts[None, :] / counts)).max(1) @ counts[:, 0]
+        back = np.maximum(back, (match * np.minimum(1.0, counts / b.counts[None, :])).max(0))
+    return float(min(1.0, (ahead + back @ b.counts) / (a.counts.sum() + b.counts.sum())))
 
 
 def digests(texts: list[str]) -> list[Digest]:
@@ -201,7 +206,7 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is that of the next smaller id (after the smallest: the largest); rows of one id follow each other by text.
-    Ids are whole numbers.  A null text counts as empty; a null id comes last, before the largest again.  One row alone is its own next.  Other columns are not read.  No rows:
+    Ids are whole numbers; others are a TypeError.  A null text counts as empty; a null id comes last, before the largest again.  One row alone is its own next.  Other columns are not read.  No rows:
     no rows.
 
     Rows are cut into ranges by quantiles of the id, one task each, with one row more per range: the first of the range
@@ -209,6 +214,8 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    if not isinstance(source.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"{id_column} must be a whole number, not {source.schema['doc_id'].dataType.simpleString()}")
     n = max(least_partitions, 2 * partitions(spark))
     ids = source.select("doc_id").filter("doc_id is not null")
     bounds = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n).alias("b")).first()["b"] if n > 1 else None

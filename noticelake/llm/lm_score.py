@@ -12,12 +12,15 @@ these terms depends on (context, next longer context) alone, so they are laid do
 batch of texts together.
 
 The trie and the vocabulary grow with the corpus, so they are cut into blocks of bounded size: contexts by their last two bytes, words
-by hash.  Each block is broadcast in turn and scores all texts as far as it knows; the parts add up.  A corpus whose trie fits one block needs one pass.
+by hash.  Each block is broadcast in turn and scores all texts as far as it knows; its part is written before the next block is
+fetched, so driver and workers hold one block however many there are, and the parts add up.  A corpus whose trie fits one block needs one
+pass; a larger one takes a pass over the texts for each block.  Words are looked up by hashes of 64 bits: n_known is exact up to their collisions.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -25,6 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -286,7 +290,20 @@ class Hash:
         return out, hit
 
 
-_built: dict[int, tuple[Trie, Hash]] = {}
+#: The block that a worker has at hand, by the name that its pass gave it.
+_built: dict[str, tuple[Trie, Hash]] = {}
+
+
+def squeezed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Keys as the steps between them in ascending order, and their counts, compressed: a worker keeps a broadcast as long as it lives."""
+    order = np.argsort(keys)
+    compress = zstandard.ZstdCompressor(3).compress
+    return compress(np.diff(keys[order], prepend=U(0)).tobytes()), compress(counts[order].astype(np.int64).tobytes())
+
+
+def expanded(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return np.cumsum(np.frombuffer(expand(keys), U)), np.frombuffer(expand(counts), np.int64)
 
 
 def block_of(packed: np.ndarray, blocks: int) -> np.ndarray:
@@ -329,8 +346,13 @@ def scores(docs: DataFrame, train_on: Column, order: int = ORDER, block_entries:
             own_grams = own_grams.mapInArrow(_block_filter(b, blocks), "gram bigint, n bigint")
             own_words = own_words.filter(F.pmod("word", F.lit(blocks)) == b)
         table, words = own_grams.toArrow(), own_words.toArrow()  # a block: block_entries rows or about that
-        content = spark.sparkContext.broadcast((table["gram"].to_numpy().view(U), table["n"].to_numpy().astype(np.int64), words["word"].to_numpy().view(U), words["n"].to_numpy(), low_orders))
-        parts.append(source.select("doc_id", "text", "train").mapInArrow(_block_scorer(content, b, blocks, order, kind, end_value, end_known), f"doc_id {id_type}, train boolean, row string, n_tokens bigint, n_known bigint, known double, score double"))
+        content = spark.sparkContext.broadcast((*squeezed(table["gram"].to_numpy().view(U), table["n"].to_numpy()), *squeezed(words["word"].to_numpy().view(U), words["n"].to_numpy()), low_orders))
+        del table, words
+        part = source.select("doc_id", "text", "train").mapInArrow(_block_scorer(content, b, blocks, order, kind, end_value, end_known), f"doc_id {id_type}, train boolean, row string, n_tokens bigint, n_known bigint, known double, score double")
+        if blocks > 1:
+            part = written(part, "lm-part")
+            content.destroy()  # the next block takes its place
+        parts.append(part)
     if blocks == 1:
         whole = parts[0]
     else:
@@ -351,15 +373,18 @@ def _block_filter(block: int, blocks: int):
 
 
 def _block_scorer(content, block: int, blocks: int, order: int, kind: pa.DataType, end_value: float, end_known: int):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = content.id if hasattr(content, "id") else id(content)
         if key not in _built:
             _built.clear()
-            keys, n, words, m, low = content.value
+            *packed_block, low = content.value
+            keys, n = expanded(*packed_block[:2])
+            words, m = expanded(*packed_block[2:])
             if low is not None:
                 keys, n = lend(keys, n, low, order)
             _built[key] = (Trie(keys, n, order), Hash(words, np.log10(m + 1.0)))
-            del content._value, keys, n, words, m  # the tables hold what is needed of them
+            del keys, n, words, m  # the tables hold what is needed of them
         trie, vocabulary = _built[key]
         for ids, trains, texts in rows_of(batches, ["doc_id", "train", "text"]):
             at = 0

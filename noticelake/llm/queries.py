@@ -55,14 +55,18 @@ def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive under one tokenizer version, those in English are revised to the next, those of under 100
-    characters are deleted; the second batch is sent twice."""
-    docs = table(spark, sf_dir, "documents")
+    """All documents arrive under one tokenizer version and those in English are revised to the next, in a batch that is sent twice; those
+    of under 100 characters are deleted and come back.  A document is its id, source and language, in which all its rows agree."""
+    docs = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "source", "lang")).alias("doc_id"), "text", "source", "lang")
+    short = docs.filter("length(coalesce(text, '')) < 100")
     store = rollup.RollupStore(spark)
     store.apply("arrive", rollup.counts(docs, "words-1"))
     for _ in range(2):
         store.apply("revise", rollup.counts(docs.filter("lang = 'en'"), "words-2", "revise"))
-    store.apply("delete", rollup.counts(docs.filter("length(coalesce(text, '')) < 100"), "words-1", "delete"))
+    store.apply("delete", rollup.counts(short, "words-1", "delete"))
+    again = docs.join(short.select(F.col("doc_id").alias("gone")).distinct(), F.col("doc_id") == F.col("gone"), "left_semi")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    store.apply("return", rollup.counts(again.filter(english), "words-2").union(rollup.counts(again.filter(~english), "words-1")))
     return store.totals()
 
 
@@ -70,7 +74,7 @@ OP8_SQL = r"""
 with counted as (
     select source, lang, case when lang = 'en' then 'words-2' else 'words-1' end as tokenizer,
            len(regexp_extract_all(coalesce(text, ''), case when lang = 'en' then '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]' else '[^\x20\x09-\x0D]+' end)) as tokens
-    from documents where length(coalesce(text, '')) >= 100)
+    from documents)
 select source, lang, tokenizer, count(*) as docs, cast(sum(tokens) as bigint) as tokens
 from counted group by source, lang, tokenizer
 """

@@ -45,6 +45,8 @@ SIMILARITY = 0.8
 TABLES, FEATURES = 12, 5
 TABLE_BITS = 1
 BROADCAST_ROWS = 500_000
+#: Fingerprints of a coarse cell from which it is split.
+CELL_HOSTS = 1_000_000
 #: Candidate pairs that a task verifies at a time.
 PAIR_BLOCK = 4_000_000
 
@@ -151,20 +153,50 @@ def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (u, v) between the distinct fingerprints in column fp that join all that lie within so many bits.
 
-    Every pair within them is verified in some task; returned are forests with the same components.
+    Every pair within them is verified in some task; returned are forests with the same components.  A coarse cell with more
+    than CELL_HOSTS fingerprints is split by a hash of their fine counts, and a visitor goes to the parts that its offsets lead to.
     """
     spark = distinct.sparkSession
     n, coarse = partitions(spark, 2), coarse_offsets(bits)
 
+    base, steps_of = 17 ** np.arange(COARSE), fine_steps(bits)
+    still = next(k for k, v in enumerate(coarse) if not any(v))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, many = np.unique(coarse_counts(batch.column("fp").to_numpy().view(np.uint64)) @ base, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(many)], ["cell", "many"])
+
+    weights = distinct.select("fp").mapInArrow(weigh, "cell int, many bigint").groupBy("cell").agg(F.sum("many").alias("many"))
+    heavy = sorted((r.cell, -(-r.many // CELL_HOSTS)) for r in weights.filter(F.col("many") > CELL_HOSTS).collect())  # 17**4 cells at most
+    heavy_cells, heavy_parts = np.array([c for c, _ in heavy], np.int64), np.array([m for _, m in heavy], np.uint64)
+
+    def part(fine: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        mixed = fine * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> np.uint64(32))) % parts).astype(np.int32)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.array([(17**c) for c in range(COARSE)])
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
             counts = coarse_counts(fps)
             for k, v in enumerate(coarse):
                 cell = counts - np.array(v)
                 inside = ((cell >= 0) & (cell <= 16)).all(1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell[inside] @ base, pa.int32()), pa.array(np.full(inside.sum(), k, np.int8)), pa.array(fps[inside].view(np.int64))], ["cell", "step", "fp"])
+                cell, own = cell[inside] @ base, fps[inside]
+                row, to = np.arange(len(own)), np.zeros(len(own), np.int32)
+                at = np.minimum(np.searchsorted(heavy_cells, cell), max(0, len(heavy_cells) - 1))
+                split = np.flatnonzero(heavy_cells[at] == cell) if len(heavy_cells) else row[:0]
+                if len(split):
+                    parts, fine = heavy_parts[at[split]], segment_counts(own[split])
+                    if k == still:  # hosts, which visit their own cell as well
+                        goals = [part(fine, parts), *(part(fine - s, parts) for s in steps_of[k])]
+                    else:
+                        goals = [part(fine - s, parts) for s in steps_of[k]]
+                    pairs = np.unique(np.concatenate([split.astype(np.int64) << 32 | g for g in goals]))
+                    single = np.ones(len(own), bool)
+                    single[split] = False
+                    row, to = np.concatenate([row[single], pairs >> 32]), np.concatenate([to[single], (pairs & 0xFFFFFFFF).astype(np.int32)])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[row], pa.int32()), pa.array(to), pa.array(np.full(len(row), k, np.int8)), pa.array(own[row].view(np.int64))], ["cell", "part", "step", "fp"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [tuple(batch.column(c).to_numpy() for c in ("cell", "step", "fp")) for batch in batches]
@@ -172,12 +204,11 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
             return
         cells, step, fps = (np.concatenate(x) for x in zip(*held))
         fps = fps.view(np.uint64)
-        still = next(k for k, v in enumerate(coarse) if not any(v))
         hosts = np.unique(fps[step == still])
         order = np.argsort(segment_counts(hosts), kind="stable")
         hosts = hosts[order]
         fine = segment_counts(hosts)  # a fine cell lies in one coarse cell, so the coarse one needs no test
-        for k, steps in enumerate(fine_steps(bits)):
+        for k, steps in enumerate(steps_of):
             visitors = fps[step == k]
             own = segment_counts(visitors)
             held_a, held_b, size = [], [], 0
@@ -200,8 +231,8 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
                 a, b = spanning_forest(np.concatenate(held_a), np.concatenate(held_b))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
-    dealt = distinct.select("fp").mapInArrow(spread, "cell int, step byte, fp bigint").repartition(n, "cell")
-    return dealt.mapInArrow(join, "u bigint, v bigint")
+    dealt = distinct.select("fp").mapInArrow(spread, "cell int, part int, step byte, fp bigint").repartition(n, "cell", "part")
+    return dealt.select("cell", "step", "fp").mapInArrow(join, "u bigint, v bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -299,7 +330,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     candidates; those of at least that Jaccard similarity of shingles of so many words are linked, and a group is what links
     reach.  Repeated rows each keep their row; ids, null or not, are not looked at; other columns are not read.  No rows: no rows.
 
-    Within a cell the first 1, 2, 4, ... nodes, in an order of its own, in turn meet all others that are left; a node that is
+    Within a cell the first 1, 4, 16, ... nodes, in an order of its own, in turn meet all others that are left; a node that is
     linked leaves the cell, so a cell of copies of one text costs a pair for each, and every pair of nodes that stay is verified.  Cells hold
     digests and sizes; shingles are read again for the nodes of cells alone, and a pair is verified once.
     """
@@ -319,7 +350,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([shingles(x, words).view(np.int64) for x in norms], pa.list_(pa.int64()))], ["node", "hashes"])
 
     base = written(source.mapInArrow(sample, f"doc_id {kind.simpleString()}, node binary, size int, fps array<bigint>"), "near-base")
-    cells = written(base.filter("fps is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps")).select("node", "size", F.explode("fps").alias("cell")).distinct(), "near-cells")
+    cells = written(base.filter("fps is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps")).select("node", "size", F.explode("fps").alias("cell")), "near-cells")
     joined = components(links(cells.select(F.col("cell").alias("fp")).distinct(), TABLE_BITS)).select(F.col("node").alias("cell"), "root")
     joined = F.broadcast(joined) if joined.count() <= BROADCAST_ROWS else joined
     cells = cells.join(joined, "cell", "left").select("node", "size", F.coalesce("root", "cell").alias("cell")).distinct()
@@ -344,7 +375,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         leave = met.join(linked.all(), ["a", "b"], "left_semi").select("cell", "node").union(first.select("cell", "first")).distinct()
         left = active.join(leave, ["cell", "node"], "left_anti")
         still = left.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("cell")
-        active, many = written(left.join(still, "cell", "left_semi"), "near-active"), 2 * many
+        active, many = written(left.join(still, "cell", "left_semi"), "near-active"), 4 * many
     if not linked.count:
         return base.select("doc_id", "node", F.col("node").alias("root"))
     groups = components(linked.all().select(F.col("a").alias("u"), F.col("b").alias("v")))

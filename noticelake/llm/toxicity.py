@@ -27,10 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from noticelake.llm._shared import partitions, rows_of, written
 
-#: Labelled rows that training reads at most, terms of the lexicon at most, and listed look-alikes at most.
+#: Labelled rows that training reads at most; terms and look-alikes are words of these rows, and so bounded too.
 SAMPLE_ROWS = 20_000
-MOST_TERMS = 3_000
-MOST_LOOKALIKES = 20_000
 #: A term needs so many toxic documents, such log-odds and such a likelihood ratio (chance gives one word in two million).
 LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 2.0, 25.0
 #: Weight from which a lexicon by itself looks for a term in misspelled form too; a model looks for all.
@@ -91,7 +89,7 @@ class Lexicon:
 
     Words within e edits have a word in common that e deletions at most make of either, so terms of up to ``LONG``
     letters are found by what deletions leave of them, and the automaton runs along those terms alone.  Longer ones,
-    of which deletions leave too much, are in the tries, behind a test of their parts.
+    of which deletions leave too much, are in the tries.  Where two edits are allowed a test of the terms' parts goes before either.
 
     Only terms of weight ``least`` or more are looked for with edits."""
 
@@ -105,6 +103,13 @@ class Lexicon:
             edits = edits_for(len(term))
             if not edits or weight < least:
                 continue
+            if edits == 2 or len(term) > LONG:
+                # of the edits + 1 parts of a term one at least is unchanged, and shifted by no more than the edits
+                cuts, (starts, ends, middles) = cuts_of(len(term)), self.parts.setdefault(len(term), (set(), set(), set()))
+                starts.add(term[: cuts[1]])
+                ends.add(term[cuts[-2] :])
+                if edits == 2:
+                    middles.add(term[cuts[1] : cuts[2]])
             if len(term) <= LONG:
                 left = self.left.setdefault(edits, {})
                 for word in deletions(term, edits):
@@ -116,12 +121,6 @@ class Lexicon:
             for sign in term:
                 node = node.setdefault(sign, {})
             node[""] = term
-            # of the edits + 1 parts of a term one at least is unchanged, and shifted by no more than the edits
-            cuts, (starts, ends, middles) = cuts_of(len(term)), self.parts.setdefault(len(term), (set(), set(), set()))
-            starts.add(term[: cuts[1]])
-            ends.add(term[cuts[-2] :])
-            if edits == 2:
-                middles.add(term[cuts[1] : cuts[2]])
 
     def may_match(self, token: str) -> bool:
         n = len(token)
@@ -144,13 +143,14 @@ class Lexicon:
         if len(token) < 4:
             return None
         near: set[str] = set()
+        possible = bool(self.parts) and self.may_match(token)
         for edits, left in self.left.items():
             low, high = self.lengths[edits]
-            if low - edits <= len(token) <= high + edits:
+            if low - edits <= len(token) <= high + edits and (possible or edits < 2):
                 for word in deletions(token, edits):
                     if word in left:
                         near.update(left[word])
-        tries = self.tries if self.tries and self.may_match(token) else {}
+        tries = self.tries if possible else {}
         if not near and not tries:
             return None
         places: dict[str, int] = {}
@@ -306,13 +306,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_column
     odds = F.log((F.col("toxic") + 0.5) / (toxic - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (clean - F.col("clean") + 0.5))
     words = written(word_counts(sample), "toxic-words")
     counted = words.withColumn("odds", odds).withColumn("ratio", ratio)
-    chosen = counted.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "word").limit(MOST_TERMS)
+    chosen = counted.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "word")
     # a term that is as rare among clean texts as the sample can tell, counts in full
     terms = {r.word: min(1.0, r.odds / 5.0) * (1 - math.exp(-r.ratio / 20)) for r in chosen.collect()}
     if not terms:
         return Model({})
     model = Model(terms)
-    near = near_terms(words.filter("all_clean >= 1 and all_toxic <= all_clean").repartition(partitions(docs.sparkSession)), model).orderBy(F.desc("all_clean"), "word").limit(MOST_LOOKALIKES)
+    near = near_terms(words.filter("all_clean >= 1 and all_toxic <= all_clean").repartition(partitions(docs.sparkSession)), model)
     model = Model(terms, frozenset(r.word for r in near.collect()))
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +364,7 @@ def scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = to_arrow_type(source.schema["doc_id"].dataType)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_TERMS terms and MOST_LOOKALIKES words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of SAMPLE_ROWS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.score
@@ -375,7 +375,10 @@ def scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
-    """docs without the rows that score ``threshold`` or more; columns as they were.  No shuffle."""
+    """docs without the rows that score ``threshold`` or more; columns, whatever they are called, as they were.  No shuffle.
+
+    A null text scores as an empty one; repeated rows share their fate; ids are not looked at; no rows: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_column)

@@ -77,3 +77,17 @@ def test_ranges(spark):
     rows = [(k,) for k in range(50)] + [(None,)]
     found = {r.k: r.n for r in spark.createDataFrame(rows, "k bigint").select("k", fp.range_of("k", bounds).alias("n")).collect()}
     assert all(found[k] == sum(b >= k for b in bounds) for k in range(50)) and found[None] == 5
+
+
+def test_blocks_of_filters_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    a, b = (" ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in (9000, 5000))
+    da, db = fp.digests([a, b])
+    whole = fp.likeness(da, db)
+    monkeypatch.setattr(fp, "PAIR_BLOCK", 5)
+    assert fp.likeness(da, db) == pytest.approx(whole, abs=1e-12) == fp.likeness(db, da)
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        fp.compare_with_next(spark.createDataFrame([("a", "x")], "doc_id string, text string"))

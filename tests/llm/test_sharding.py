@@ -38,3 +38,36 @@ def test_rows(spark):
     rest = sorted(v for v in sizes.values())[:-1]  # one text is larger than a shard's share
     assert max(rest) / min(rest) < 1.2
     assert shard(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def plain_pack(demands, shards):
+    """The greedy placement by its words, one shard at a time."""
+    total = [max(sum(d[c] for d in demands), 1e-300) for c in range(3)]
+    shares = [[d[c] / total[c] * shards for c in range(3)] for d in demands]
+    loads, chosen = [[0.0] * 3 for _ in range(shards)], [0] * len(demands)
+    for k in sorted(range(len(demands)), key=lambda k: (-sum(x * x for x in shares[k]), k)):
+        own, options = shares[k], []
+        for s in range(shards):
+            left = [1 - loads[s][c] for c in range(3)]
+            fits = all(left[c] - own[c] >= -own[c] * 0.5 for c in range(3))
+            score = sum(left[c] * own[c] for c in range(3)) if fits else min(left[c] - own[c] for c in range(3))
+            options.append((not fits, -round(score, 12), -round(sum(left), 9), s))
+        best = min(options)[-1]
+        loads[best] = [loads[best][c] + own[c] for c in range(3)]
+        chosen[k] = best
+    return chosen
+
+
+def test_pack_against_the_plain_placement():
+    rng = np.random.default_rng(5)
+    for n, shards in ((0, 3), (1, 4), (40, 4), (200, 7), (90, 16)):
+        demands = np.column_stack([rng.integers(1, 400, n), rng.integers(1, 60, n), rng.integers(1, 4, n)]).astype(float)
+        demands[n // 2 :] = demands[: n - n // 2]  # ties
+        assert pack(demands, shards).tolist() == plain_pack(demands.tolist(), shards)
+
+
+def test_equal_groups_and_shards(spark):
+    rows = [(k % 10, f"t{k % 40}", "s") for k in range(400)]
+    found = shard(spark.createDataFrame(rows, SCHEMA), 4).collect()
+    assert len(found) == 400 and sorted(r.slot for r in found if r.shard == 0) == list(range(sum(r.shard == 0 for r in found)))
+    assert sorted({r.shard for r in found}) == [0, 1, 2, 3]

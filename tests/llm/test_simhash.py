@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
+from noticelake.llm import simhash as simhash_module
 from noticelake.llm.simhash import COARSE_OFFSETS, components, fine_steps, keep_one, near_copies, near_duplicates, simhash, spanning_forest
 
 
@@ -56,8 +58,10 @@ def test_against_brute_force(spark):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
-def test_dense_links(spark):
-    """All fingerprints within two bits of one, and a chain of single bits."""
+@pytest.mark.parametrize("cell_hosts", [1_000_000, 5])
+def test_dense_links(spark, monkeypatch, cell_hosts):
+    """All fingerprints within two bits of one, and a chain of single bits, in whole cells and split ones."""
+    monkeypatch.setattr(simhash_module, "CELL_HOSTS", cell_hosts)
     base = 0x0123456789ABCDEF
     ball = {base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(64)}
     chain = [0]
