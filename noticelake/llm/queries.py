@@ -64,9 +64,9 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         store.apply("revise", rollup.counts(docs.filter("lang = 'en'"), "words-2", "revise"))
     store.apply("delete", rollup.counts(short, "words-1", "delete"))
-    again = docs.join(short.select(F.col("doc_id").alias("gone")).distinct(), F.col("doc_id") == F.col("gone"), "left_semi")
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    store.apply("return", rollup.counts(again.filter(english), "words-2").union(rollup.counts(again.filter(~english), "words-1")))
+    counted = rollup.counts(docs.filter(english), "words-2").union(rollup.counts(docs.filter(~english), "words-1"))  # counts move, not texts
+    store.apply("return", counted.join(short.select(F.col("doc_id").alias("gone")).distinct(), F.col("doc_id") == F.col("gone"), "left_semi"))
     return store.totals()
 
 

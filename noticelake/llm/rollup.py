@@ -20,13 +20,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm._shared import WORD, shared_dir
+from noticelake.llm._shared import WORD, partitions, shared_dir
 
 KEYS = ["source", "lang", "tokenizer"]
 LOG = "doc_id string, version bigint, counts array<struct<source: string, lang: string, tokenizer: string, docs: bigint, tokens: bigint>>, part string, bucket int"
 TOTALS = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
-RECORD = "number bigint, batch string, log array<string>, deltas array<string>, expired array<string>"
-BUCKETS = 64
+RECORD = "number bigint, batch string, buckets int, log array<string>, deltas array<string>, expired array<string>"
 #: Log folders after which they are merged.
 COMPACT_AFTER = 32
 
@@ -54,8 +53,9 @@ class RollupStore:
     sources, languages and versions are groups of their own; null tokens count as 0.  An empty batch is committed and changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        """buckets of a new store; the session's shuffle partitions if not given.  A store keeps those that it began with."""
+        self.spark, self.buckets = spark, buckets or partitions(spark)
         self.path = path or f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
 
     def _files(self, path: str):
@@ -70,7 +70,7 @@ class RollupStore:
         """The last record: its number, and the folders that hold the log and the deltas."""
         records = self._records()
         last = None if records is None else records.orderBy(F.desc("number")).first()
-        return last.asDict() if last else {"number": 0, "batch": None, "log": [], "deltas": [], "expired": []}
+        return last.asDict() if last else {"number": 0, "batch": None, "buckets": self.buckets, "log": [], "deltas": [], "expired": []}
 
     def _commit(self, record: dict) -> None:
         """Put record in place under its number alone; fails if that number is there."""
@@ -124,16 +124,16 @@ class RollupStore:
         one = F.struct(*KEYS, "docs", "tokens")
         of_seq = parts.groupBy("doc_id", "seq").agg(F.collect_list(F.when(~F.col("gone"), one)).alias("counts"))
         entries = of_seq.groupBy("doc_id").agg(F.max_by("counts", F.coalesce("seq", F.lit(0))).alias("counts"))
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(now["buckets"])).cast("int")
         entries = entries.select("doc_id", F.lit(number).cast("bigint").alias("version"), "counts", bucket.alias("bucket"))
         entries.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/log/part={name}")
         new = self.spark.read.schema(LOG).option("basePath", f"{self.path}/log").parquet(f"{self.path}/log/part={name}")
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # self.buckets numbers at most
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # as many numbers as the store has buckets
         old = self._log(now["log"], touched).join(new.select(F.col("doc_id").alias("changed")), F.col("doc_id").eqNullSafe(F.col("changed")), "left_semi")
         signed = [df.select(F.lit(sign).alias("sign"), F.inline("counts")) for sign, df in ((-1, old), (1, new))]
         deltas = signed[0].union(signed[1]).groupBy(*KEYS).agg(F.sum(F.col("sign") * F.col("docs")).alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         deltas.filter("docs <> 0 or tokens <> 0").write.parquet(f"{self.path}/deltas/{name}")
-        self._commit({"number": number, "batch": batch, "log": [*now["log"], name] if touched else now["log"], "deltas": [*now["deltas"], name], "expired": now["expired"]})
+        self._commit({"number": number, "batch": batch, "buckets": now["buckets"], "log": [*now["log"], name] if touched else now["log"], "deltas": [*now["deltas"], name], "expired": now["expired"]})
         if len(now["deltas"]) + 1 >= COMPACT_AFTER:
             self.compact()
         return True
@@ -141,11 +141,11 @@ class RollupStore:
     def compact(self) -> None:
         """Merge the folders of log and deltas into one each, and delete those that the merge before replaced."""
         now, name = self.state(), uuid.uuid4().hex
-        merged = self._log(now["log"]).filter(F.size("counts") > 0).select("doc_id", F.lit(now["number"]).cast("bigint").alias("version"), "counts", F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int").alias("bucket"))
+        merged = self._log(now["log"]).filter(F.size("counts") > 0).select("doc_id", F.lit(now["number"]).cast("bigint").alias("version"), "counts", F.pmod(F.xxhash64("doc_id"), F.lit(now["buckets"])).cast("int").alias("bucket"))
         merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/log/part={name}")
         self._sum(now["deltas"]).write.parquet(f"{self.path}/deltas/{name}")
         replaced = [f"log/part={x}" for x in now["log"]] + [f"deltas/{x}" for x in now["deltas"]]
-        self._commit({"number": now["number"] + 1, "batch": None, "log": [name], "deltas": [name], "expired": replaced})
+        self._commit({"number": now["number"] + 1, "batch": None, "buckets": now["buckets"], "log": [name], "deltas": [name], "expired": replaced})
         for folder in now["expired"]:
             path, fs = self._files(f"{self.path}/{folder}")
             fs.delete(path, True)
