@@ -20,6 +20,7 @@ verified by the exact Jaccard similarity of their shingles.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -44,6 +45,9 @@ WORDS = 5
 SIMILARITY = 0.8
 TABLES, FEATURES = 12, 5
 TABLE_BITS = 1
+#: Bits of a text's sketch: one of the least shingle in each of so many orders, so two texts agree in half of those whose least
+#: shingle differs, and in all others.  Texts further below the similarity than SIGMAS standard deviations are not verified.
+SKETCH_BITS, SIGMAS = 128, 3.0
 BROADCAST_ROWS = 500_000
 #: Fingerprints of a coarse cell from which it is split.
 CELL_HOSTS = 1_000_000
@@ -308,6 +312,25 @@ def sampled_fingerprints(found: np.ndarray, tables: int = TABLES, features: int
     return np.concatenate(out)
 
 
+def sketch(found: np.ndarray, bits: int = SKETCH_BITS) -> list[int]:
+    """One bit of the least shingle in each of so many orders, packed into signed words of 64 bits."""
+    multipliers = (np.random.default_rng(SEED + 1).integers(0, 2**63, bits, np.uint64) << np.uint64(1)) | np.uint64(1)
+    least = np.full(bits, ~np.uint64(0))
+    for at in range(0, len(found), 4096):
+        x = found[at : at + 4096, None] * multipliers[None, :]
+        np.minimum(least, (x ^ (x >> np.uint64(31))).min(0), out=least)
+    mixed = least * np.uint64(0x9E3779B97F4A7C15)
+    return np.packbits((mixed >> np.uint64(63)).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def may_be_similar(a: str, b: str, similarity: float, bits: int = SKETCH_BITS) -> Column:
+    """Whether sketches (columns of arrays) agree in as many bits as texts of that similarity do, less SIGMAS standard deviations."""
+    share = (1 + similarity) / 2
+    least = share * bits - SIGMAS * math.sqrt(share * (1 - share) * bits)
+    differ = [F.bit_count(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))) for k in range(bits // 64)]
+    return sum(differ[1:], differ[0]) <= F.lit(bits - least)
+
+
 def words_only(column: str) -> Column:
     """The text's words, A-Z lower-cased, joined by blanks; null is empty."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -331,29 +354,30 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     reach.  Repeated rows each keep their row; ids, null or not, are not looked at; other columns are not read.  No rows: no rows.
 
     Within a cell the first 1, 4, 16, ... nodes, in an order of its own, in turn meet all others that are left; a node that is
-    linked leaves the cell, so a cell of copies of one text costs a pair for each, and every pair of nodes that stay is verified.  Cells hold
-    digests and sizes; shingles are read again for the nodes of cells alone, and a pair is verified once.
+    linked leaves the cell, so a cell of copies of one text costs a pair for each, and every pair of nodes that stay is verified, unless
+    sizes or sketches rule it out where it meets.  Cells hold digests, sizes and sketches; shingles are read again for the nodes of cells alone, and a pair is verified once.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), words_only(text_column).alias("norm"))
     source = source.withColumn("node", F.unhex(F.md5("norm")))
     kind = source.schema["doc_id"].dataType
-    base_schema = pa.schema([("doc_id", to_arrow_type(kind)), ("node", pa.binary()), ("size", pa.int32()), ("fps", pa.list_(pa.int64()))])
+    base_schema = pa.schema([("doc_id", to_arrow_type(kind)), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.list_(pa.int64())), ("fps", pa.list_(pa.int64()))])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, nodes, norms in rows_of(batches, ["doc_id", "node", "norm"]):
             found = [shingles(x, words) for x in norms]
             fps = [sampled_fingerprints(x, tables, features).view(np.int64) if len(x) else None for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((ids, nodes, [len(x) for x in found], fps), base_schema)], schema=base_schema)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((ids, nodes, [len(x) for x in found], [sketch(x) for x in found], fps), base_schema)], schema=base_schema)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, norms in rows_of(batches, ["node", "norm"]):
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([shingles(x, words).view(np.int64) for x in norms], pa.list_(pa.int64()))], ["node", "hashes"])
 
-    base = written(source.mapInArrow(sample, f"doc_id {kind.simpleString()}, node binary, size int, fps array<bigint>"), "near-base")
-    cells = written(base.filter("fps is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps")).select("node", "size", F.explode("fps").alias("cell")), "near-cells")
+    base = written(source.mapInArrow(sample, f"doc_id {kind.simpleString()}, node binary, size int, sketch array<bigint>, fps array<bigint>"), "near-base")
+    nodes = base.filter("fps is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "fps")])
+    cells = written(nodes.select("node", "size", "sketch", F.explode("fps").alias("cell")), "near-cells")
     joined = components(links(cells.select(F.col("cell").alias("fp")).distinct(), TABLE_BITS)).select(F.col("node").alias("cell"), "root")
     joined = F.broadcast(joined) if joined.count() <= BROADCAST_ROWS else joined
-    cells = cells.join(joined, "cell", "left").select("node", "size", F.coalesce("root", "cell").alias("cell")).distinct()
+    cells = cells.join(joined, "cell", "left").select("node", "size", "sketch", F.coalesce("root", "cell").alias("cell")).distinct()
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("cell")
     active = written(cells.join(shared, "cell").withColumn("place", F.xxhash64("cell", "node")), "near-active")
     wanted = written(active.select("node").distinct(), "near-wanted")
@@ -365,9 +389,10 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     many = 1
     while not active.isEmpty():
         first = active.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("place", "node"))).filter(F.col("nth") <= many)
-        first = written(first.select("cell", F.col("node").alias("first"), F.col("place").alias("first_place"), F.col("size").alias("first_size")), "near-first")
+        first = written(first.select("cell", F.col("node").alias("first"), F.col("place").alias("first_place"), F.col("size").alias("first_size"), F.col("sketch").alias("first_sketch")), "near-first")
         after = F.struct("first_place", "first") < F.struct("place", "node")
         near = F.least("size", "first_size") >= F.lit(similarity) * F.greatest("size", "first_size")
+        near = near & may_be_similar("sketch", "first_sketch", similarity)
         met = written(active.join(first, "cell").filter(after & near).select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"), "node", "cell"), "near-met")
         pairs = met.select("a", "b").distinct()
         new = pairs.join(tried.all(), ["a", "b"], "left_anti") if tried.count else pairs
