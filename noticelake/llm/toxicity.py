@@ -37,7 +37,7 @@ FUZZY_WEIGHT = 0.9
 LONG = 30
 WINDOW = 8
 THRESHOLD = 0.7
-MEMO_TOKENS = 300_000
+MEMO_TOKENS = 200_000
 
 OPENING, CLOSING = "\"'“„‘‚«‹([", "\"'”“’‘»›)]"
 QUOTES = "\"“”„‘‚«»‹›"
