@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, exact_dedup, fingerprint, html_extract, lm_score, mixing, rollup, sharding, simhash, toxicity
+from noticelake.llm import bpe, exact_dedup, fingerprint, html_extract, importance, lm_score, mixing, rollup, sharding, simhash, toxicity
 from noticelake.llm._shared import crc_mod
 
 
@@ -94,5 +94,49 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op5_ppm_score, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL}
+def _bytes_sql(text: str) -> str:
+    """The UTF-8 bytes of a text as a list, in DuckDB."""
+    return f"""flatten(list_transform(string_split({text}, ''), lambda ch: case when unicode(ch) < 128 then [unicode(ch)]
+        when unicode(ch) < 2048 then [192 + unicode(ch) // 64, 128 + unicode(ch) % 64]
+        when unicode(ch) < 65536 then [224 + unicode(ch) // 4096, 128 + unicode(ch) // 64 % 64, 128 + unicode(ch) % 64]
+        else [240 + unicode(ch) // 262144, 128 + unicode(ch) // 4096 % 64, 128 + unicode(ch) // 64 % 64, 128 + unicode(ch) % 64] end))"""
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of a text that is not empty, in DuckDB, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, {_bytes_sql(text)}),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_OP13_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP13_SQL = rf"""
+with words as (
+    select true as corpus, doc_id as id, {_OP13_WORDS} as w from documents union all select false, item_id, {_OP13_WORDS} from benchmark),
+counted as (
+    select corpus, id, gram, count(*) as n
+    from (select corpus, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as gram from words) group by all),
+hashed as (select gram, {_crc32_sql("gram")} % 10000 as bucket from (select distinct gram from counted)),
+sums as (
+    select r.bucket, coalesce(sum(n) filter (where corpus), 0) as s, coalesce(sum(n) filter (where not corpus), 0) as t
+    from range(10000) r(bucket) left join (select * from counted join hashed using (gram)) c on c.bucket = r.bucket group by r.bucket),
+gains as (
+    select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from sums),
+weighed as (
+    select id, sum(n)::bigint as n_features, floor(sum(n * gain)::double / sum(n))::bigint as weight
+    from counted join hashed using (gram) join gains using (bucket) where corpus group by id),
+scored as (
+    select d.id as doc_id, len(d.w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+    from words d left join weighed using (id) where d.corpus),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () * 25 // 100 as drawn from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when place <= drawn then place end as rank from scored left join ranked using (doc_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op5_ppm_score, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe, op13_importance_resample)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL, "op13_importance_resample": OP13_SQL}
