@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, exact_dedup, fingerprint, html_extract, importance, lm_score, mixing, rollup, sharding, simhash, toxicity
+from noticelake.llm import bpe, conversation, exact_dedup, fingerprint, html_extract, importance, lm_score, mixing, rollup, sharding, simhash, toxicity
 from noticelake.llm._shared import crc_mod
 
 
@@ -108,6 +108,59 @@ def _crc32_sql(text: str) -> str:
         lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation.Repair(conversation.damage(rows)).results()
+    every = rows.select("conv_id").distinct()
+    whole = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _edit(state: str, cost: str, initial: str, line: str, where: str = "true") -> str:
+    return f"case when {state} is not null and {where} then {{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}', 't': {state}.t || {line}}} end"
+
+
+_LINE = "chr(10) || role || ':' || text"
+_AS_USER, _AS_ASSISTANT = "chr(10) || 'user:' || text", "chr(10) || 'assistant:' || text"
+_INSERT_USER, _INSERT_ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+_LIVE = "kind not in (1, 2)"
+_WAY = "struct(c bigint, a varchar, t varchar)"
+# the best way to each state before a row, closed under insertions
+_CLOSED = f"""(select *, least(s3, {_edit('i2', '5', 'I', _INSERT_ASSISTANT)}) as i3
+    from (select *, least(s2, {_edit('s0', '5', 'I', _INSERT_USER)}, {_edit('s1', '5', 'I', _INSERT_USER)}, {_edit('s3', '5', 'I', _INSERT_USER)}) as i2 from SOURCE))"""
+_OP12_STEP = _CLOSED.replace("SOURCE", "(select ways.*, r.role, r.text, r.kind, r.more from ways join faults r on r.conv = ways.conv and r.pos = ways.pos + 1)")
+OP12_SQL = rf"""
+with recursive filled as (
+    select coalesce(conv_id::varchar, ' ') as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        {_crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind from conversations),
+damaged as (
+    select conv, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case when kind = 3 then [0, 1] else [0] end) as copy from filled where kind <> 0),
+placed as (select *, row_number() over (partition by conv order by turn nulls first, role, text, copy) as pos from damaged),
+faults as (
+    select *, case kind when 3 then 5 else 0 end as more from (
+        select conv, pos, turn, role, text, left(role, 1) as initial, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1
+            when row_number() over (partition by conv, role, text order by pos) > 1 then 2 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 3 else 0 end as kind from placed)),
+ways as (
+    select distinct conv, 0::bigint as pos, {{'c': 0::bigint, 'a': '', 't': ''}}::{_WAY} as s0, null::{_WAY} as s1, null::{_WAY} as s2, null::{_WAY} as s3 from faults
+    union all
+    select conv, pos + 1, {_edit('s0', '2', 'D', "''")},
+        least({_edit('s1', '2', 'D', "''")}, {_edit('s0', 'more', 'K', _LINE, f"{_LIVE} and left(role, 1) = 's'")}),
+        least({_edit('i2', '2', 'D', "''")}, {", ".join(_edit(s, 'more', 'K', _LINE, f"{_LIVE} and left(role, 1) = 'u'") + ", " + _edit(s, '1 + more', 'R', _AS_USER, _LIVE) for s in ('s0', 's1', 'i3'))}),
+        least({_edit('i3', '2', 'D', "''")}, {_edit('i2', 'more', 'K', _LINE, f"{_LIVE} and left(role, 1) = 'a'")}, {_edit('i2', '1 + more', 'R', _AS_ASSISTANT, _LIVE)})
+    from {_OP12_STEP}),
+ends as (select conv, least(s0, i3) as way from {_CLOSED.replace("SOURCE", "(select * from ways where (conv, pos) in (select conv, max(pos) from faults group by conv))")}),
+pairs as (select *, lag(initial) over (partition by conv order by pos) || initial as pair from faults),
+counts as (
+    select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where kind = 1) as blank, count(*) filter (where kind = 2) as duplicate,
+        count(*) filter (where kind = 3) as truncated, count(*) filter (where pair is not null and pair not in ('su', 'ua', 'au')) as illegal from pairs group by conv)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    coalesce(way.c, 0) as cost, coalesce(way.a, '') as audit, sha256(coalesce(substr(way.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join ends on ends.conv = coalesce(c.conv_id::varchar, ' ') left join counts on counts.conv = coalesce(c.conv_id::varchar, ' ')
+"""
+
+
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -138,5 +191,5 @@ select doc_id, n_features, weight, score, case when place <= drawn then place en
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op5_ppm_score, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe, op13_importance_resample)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL, "op13_importance_resample": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op5_ppm_score, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe, op12_conversation_repair, op13_importance_resample)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL, "op12_conversation_repair": OP12_SQL, "op13_importance_resample": OP13_SQL}
