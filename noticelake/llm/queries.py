@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, conversation, exact_dedup, fingerprint, html_extract, importance, lm_score, mixing, rollup, sharding, simhash, toxicity
+from noticelake.llm import bpe, conversation, exact_dedup, fingerprint, html_extract, importance, lm_score, mixing, rollup, sharding, simhash, toxicity, vector_search
 from noticelake.llm._shared import crc_mod
 
 
@@ -108,6 +108,23 @@ def _crc32_sql(text: str) -> str:
         lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 
+def op11_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vector_search.top_k(rows, rows.filter("vec_id % 50 = 0"))
+
+
+OP11_SQL = """
+with points as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+scored as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+    from points q join points c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored)
+select * from ranked where rank <= 5
+"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     found = conversation.Repair(conversation.damage(rows)).results()
@@ -191,5 +208,5 @@ select doc_id, n_features, weight, score, case when place <= drawn then place en
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op5_ppm_score, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe, op12_conversation_repair, op13_importance_resample)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL, "op12_conversation_repair": OP12_SQL, "op13_importance_resample": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_exact_dedup, op3_host_suffix_array, op4_vector_packing, op5_ppm_score, op6_simhash, op7_temperature_mix, op8_token_rollup, op9_toxicity, op10_byte_bpe, op11_mtree_search, op12_conversation_repair, op13_importance_resample)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_token_rollup": OP8_SQL, "op11_mtree_search": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_importance_resample": OP13_SQL}
