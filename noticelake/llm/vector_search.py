@@ -30,8 +30,8 @@ from noticelake.llm._shared import partitions, written
 CELL, TREE = 4_096, 16_384
 #: Points that routers are drawn from, and cells at most.
 SAMPLE, MOST_CELLS = 32_768, 4_096
-#: Entries of a page, and routers that a page is split by.
-PAGE, FANOUT = 48, 12
+#: Entries of a leaf page, and routers that a page is split by.  A page is one product of a matrix, so large ones cost little even where bounds rule out few.
+PAGE, FANOUT = 1024, 8
 #: Queries that search a tree in one task.
 BLOCK = 4_096
 #: Copies of a result that rows of one query vector are joined with, so that hot query vectors spread.
@@ -73,10 +73,6 @@ class Space:
         x = vectors.astype(float)
         return np.column_stack([x, np.sqrt(np.maximum(self.bound - np.einsum("ij,ij->i", x, x), 0))])
 
-    def scores(self, vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Inner products, exact: sums of floats within 2**52 are whole."""
-        return (vectors.astype(float) @ query.astype(float)).astype(np.int64) if self.whole else vectors @ query
-
     def distance(self, query_norm: float, score: int) -> float:
         return math.sqrt(max(query_norm + self.bound - 2.0 * score, 0.0))
 
@@ -118,7 +114,7 @@ def pages_of(points: np.ndarray) -> list[dict]:
         if len(at) <= PAGE:
             continue
         page |= {"leaf": False, "entries": [], "distances": []}
-        heads = spread(own, FANOUT)
+        heads = spread(own, min(FANOUT, 2 * math.ceil(len(at) / PAGE)))  # pages about half full
         nearest = between(own, own[heads]).argmin(1)
         nearest[heads] = np.arange(len(heads))  # a router is in its own page, however close others are
         stack.extend((at[nearest == k], page["page"], at[heads[k]]) for k in range(len(heads)))
@@ -133,9 +129,11 @@ class Tree:
     """An M-tree over rows of its pages, searched best page first."""
 
     def __init__(self, space: Space, vectors: np.ndarray, ids: list[list[int]], pages: list[dict]):
-        self.space, self.vectors, self.ids, self.pages = space, vectors, ids, pages
+        self.space, self.ids, self.pages = space, ids, pages
         self.points = space.points(vectors)
-        self.floats = vectors.astype(float)
+        for page in pages:
+            if page["leaf"]:
+                page["own"] = vectors[page["entries"]].astype(float if space.whole else np.int64)
         self.eps = slack(space)
         self.computed = 0
 
@@ -161,11 +159,14 @@ class Tree:
             page = self.pages[number]
             entries, stored = page["entries"], page["distances"]
             if page["leaf"]:
-                close = entries[np.abs(to_router - stored) <= reach]
-                if not len(close):
+                near = np.abs(to_router - stored) <= reach
+                count = int(near.sum())
+                if not count:
                     continue
-                self.computed += len(close)
-                scores = self.space.scores(self.vectors[close], query) if not self.space.whole else (self.floats[close] @ q[:-1]).astype(np.int64)
+                self.computed += count
+                own = page["own"] if 2 * count > len(near) else page["own"][near]  # most of a page is copied in more time than all is computed
+                scores = (own @ q[:-1]).astype(np.int64) if self.space.whole else own @ query  # sums of floats within EXACT are whole
+                close, scores = entries[near], scores[near] if 2 * count > len(near) else scores
                 order = np.arange(len(close)) if len(best) < k else np.flatnonzero(scores >= best[0][0])
                 for j in order[np.argsort(-scores[order], kind="stable")]:
                     score = int(scores[j])

@@ -24,7 +24,8 @@ def brute(rows, queries, k, scale=256):
 
 
 @pytest.mark.parametrize("size, width", [(1, 3), (40, 2), (700, 2), (900, 6)])
-def test_tree_against_all(size, width):
+def test_tree_against_all(size, width, monkeypatch):
+    monkeypatch.setattr(vector_search, "PAGE", 16)
     rng = np.random.default_rng(size)
     vectors = np.unique(rng.integers(-40, 40, (size, width)), axis=0)
     space = Space(int((vectors**2).sum(1).max()), width)
@@ -49,7 +50,7 @@ def test_tree_against_all(size, width):
 
 
 def test_rows(spark, monkeypatch):
-    for name, value in (("CELL", 60), ("TREE", 50), ("BLOCK", 7), ("SAMPLE", 200)):
+    for name, value in (("CELL", 60), ("TREE", 50), ("BLOCK", 7), ("SAMPLE", 200), ("PAGE", 8), ("FANOUT", 4)):
         monkeypatch.setattr(vector_search, name, value)
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(0, 0.2, 5).tolist()) for k in range(400)] + [(1000 + k, [0.5, -0.25, 0.125, 0.0, 0.75]) for k in range(250)]  # a hot vector
