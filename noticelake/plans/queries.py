@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import citation, grid, text
 from noticelake.operators import attachments, html, listing, notices, references, summary
+from noticelake.plans import structure
 from noticelake.sources.fixtures import oracle, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *views: str):
+def query(sql: str, *views: str):
     def keep(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = oracle(sql, *views) if views else sql.strip()
+        ORACLES[f.__name__] = oracle(sql, *views) if views else sql.strip()
         return f
 
     return keep
@@ -455,8 +455,12 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_titles(table(spark, sf_dir, "pages"))
 
 
-@query(None)
+@query(structure.PAGE_BLOCKS)
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of each page's article, put where notices have theirs; SQL has no parser, so tests check the blocks."""
+    """Blocks of each page's article, put where notices have theirs."""
     pages = table(spark, sf_dir, "pages")
     return html.page_blocks(pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", '<div class="content"><blockquote>'), "</article>", "</blockquote></div>")))
+
+
+QUERIES |= structure.QUERIES
+ORACLES |= structure.ORACLES

@@ -64,8 +64,29 @@ from orders
 """,
 }
 
+# Articles in the places where notices have theirs, with paragraphs made to lists, tables, quotes and numbered points; as ends are missing or stand
+# where nothing is open, pages of all shapes come out.
+_ARTICLES = ("""'<div class="content"><blockquote>'""", """'<table width="95%"><tr><td>'""", """'<div align="justify">'""", """'<div id="content">'""", "'<div>'", "'<blockquote>'")
+_ENDS = ("'</blockquote></div>'", "'</td></tr></table>'", "'</div>'", "'</div>'", "'</div>'", "'</blockquote>'")
+_MARKUP = (
+    ("<h1>", "<p>1. "), ("</h1>", "</p><ul><li>of this page</li></ul>"), ("<p>E", '<ol type="I"><li>E'), ("<p>D", "<ul><li>D"), ("<p>A", '<ol type="a"><ul><li>A'), ("<p>T", "<table><tr><th>T"), ("<p>I", "<tr><td>I"),
+    ("<p>L", "<blockquote><p>L"), ("<p>O", "<p>a) O"), ("<p>S", "<table><tr><td>S"), ("<p>R", "<blockquote><ul><li>R"), ("<p>N", "<p>iv. N"), ("n.</p>", "n.</li></ul>"), ("e.</p>", "e.</li></ol>"), ("t.</p>", "t.</td></tr></table>"),
+    ("r.</p>", "r.</blockquote>"), ("h.</p>", "h.</p></blockquote>"), (" de ", "</li><li>de "), (" the ", "</td><td>the "), (" und ", "</td></tr><tr><td>und "), (" la ", "</li><ul><li>la "), (" of ", "</ul><li></li><li>of "), (" que ", "</td></tr><tr><th>que"), (" in ", "</td><td>"),
+)
+
+
+def _articles() -> str:
+    case = lambda texts: "case page_id % 6 " + " ".join(f"when {k} then {t}" for k, t in enumerate(texts)) + " end"
+    html = f"replace(replace(html, '<article>', {case(_ARTICLES)}), '</article>', {case(_ENDS)})"
+    for old, new in _MARKUP:
+        html = f"replace({html}, '{old}', '{new}')"
+    return f"\nselect page_id, url, {html} as html\nfrom pages\n"
+
+
+VIEWS["fx_articles"] = _articles()
+
 #: The table that each view reads.
-READS = {name: "lineitem" if "from lineitem" in sql else "orders" for name, sql in VIEWS.items()}
+READS = {name: next(t for t in ("lineitem", "orders", "pages") if f"from {t}" in sql) for name, sql in VIEWS.items()}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
