@@ -1,15 +1,16 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows that tell quotation from abuse.
 
-Training takes a bounded sample of labelled rows (``SAMPLE_ROWS``, by hash of the id).  Half of it gives the lexicon:
-terms that documents labelled toxic have far more often than others (log-odds and a likelihood-ratio test).  The lexicon
-is a trie, and a token is run through the trie's Levenshtein automaton: a depth-first walk that carries the states within
+Training takes a bounded sample of labelled rows (``SAMPLE_ROWS``, by hash of the id).  It gives the lexicon:
+terms that documents labelled toxic have far more often than others (log-odds and a likelihood-ratio test, the harder the more words
+are tested).  The lexicon is a trie, and a token is run through the trie's Levenshtein automaton: a depth-first walk that carries the states within
 the allowed edits and leaves a branch once none is alive.  Edits allowed: none up to 4 letters, one up to 9, two beyond.
 Tokens near a term that clean documents use themselves are no misspellings; training lists them.
 
 Each hit is looked at in its window of tokens: whether it stands between quotation marks, and whether a word of speaking
-stands near.  Each such class of context has a weight, learned from the other half's hits over a prior that takes quoted
+stands near.  Each such class of context has a weight, learned from hits over a prior that takes quoted
 and reported words for mention rather than abuse.  The hits' weights add up to evidence, and a logistic function of
-evidence and its density, fitted on the other half too, is the score.
+evidence and its density is the score.  Both are fitted on hits of lexicons that have not seen the document: the sample is
+cut in ``FOLDS``, and each fold is searched by the lexicon of the others, so no label is lost to either.
 """
 
 from __future__ import annotations
@@ -29,12 +30,9 @@ from noticelake.llm._shared import partitions, rows_of, written
 
 #: Labelled rows that training reads at most; terms and look-alikes are words of these rows, and so bounded too.
 SAMPLE_ROWS = 20_000
-#: A term needs so many toxic documents, such log-odds and such a likelihood ratio (chance gives one word in two million).
-LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 2.0, 25.0
-#: Weight from which a lexicon by itself looks for a term in misspelled form too; a model looks for all.
-FUZZY_WEIGHT = 0.9
-#: Letters up to which a term's deletions are listed (466 words at most).
-LONG = 30
+#: A term needs so many toxic documents and such log-odds, and a likelihood ratio that chance gives about one of the words that many documents have.
+LEAST_DOCS, LEAST_ODDS = 3, 2.0
+FOLDS = 4
 WINDOW = 8
 THRESHOLD = 0.7
 MEMO_TOKENS = 200_000
@@ -74,64 +72,39 @@ def bare(token: str) -> str:
     return token[a:b]
 
 
-def deletions(word: str, most: int) -> set[str]:
-    """The word, and what is left of it without any 1 to ``most`` (at most 2) letters."""
-    out, n = {word}, len(word)
-    if most:
-        out.update(word[:i] + word[i + 1 :] for i in range(n))
-    if most == 2:
-        out.update(word[:i] + word[i + 1 : j] + word[j + 1 :] for i in range(n) for j in range(i + 1, n))
-    return out
-
-
 class Lexicon:
     """Tries of terms, one for each number of edits, searched by Levenshtein automata.
 
-    Words within e edits have a word in common that e deletions at most make of either, so terms of up to ``LONG``
-    letters are found by what deletions leave of them, and the automaton runs along those terms alone.  Longer ones,
-    of which deletions leave too much, are in the tries.  Where two edits are allowed a test of the terms' parts goes before either.
-
-    Only terms of weight ``least`` or more are looked for with edits."""
+    Of a term cut into one part more than it may have edits one part at least is unchanged, and shifted by no more than the edits: a token that has
+    no such part of any term is not run through the trie at all, and nothing is lost by that."""
 
-    def __init__(self, terms: dict[str, float], least: float = FUZZY_WEIGHT):
+    def __init__(self, terms: dict[str, float]):
         self.terms = terms
-        self.left: dict[int, dict[str, list[str]]] = {}
-        self.lengths: dict[int, tuple[int, int]] = {}
         self.tries: dict[int, dict] = {}
         self.parts: dict[int, tuple[set[str], set[str], set[str]]] = {}
-        for term, weight in terms.items():
+        for term in terms:
             edits = edits_for(len(term))
-            if not edits or weight < least:
-                continue
-            if edits == 2 or len(term) > LONG:
-                # of the edits + 1 parts of a term one at least is unchanged, and shifted by no more than the edits
-                cuts, (starts, ends, middles) = cuts_of(len(term)), self.parts.setdefault(len(term), (set(), set(), set()))
-                starts.add(term[: cuts[1]])
-                ends.add(term[cuts[-2] :])
-                if edits == 2:
-                    middles.add(term[cuts[1] : cuts[2]])
-            if len(term) <= LONG:
-                left = self.left.setdefault(edits, {})
-                for word in deletions(term, edits):
-                    left.setdefault(word, []).append(term)
-                low, high = self.lengths.get(edits, (len(term), len(term)))
-                self.lengths[edits] = min(low, len(term)), max(high, len(term))
+            if not edits:
                 continue
+            cuts, (starts, ends, middles) = cuts_of(len(term)), self.parts.setdefault(len(term), (set(), set(), set()))
+            starts.add(term[: cuts[1]])
+            ends.add(term[cuts[-2] :])
+            if edits == 2:
+                middles.add(term[cuts[1] : cuts[2]])
             node = self.tries.setdefault(edits, {})
             for sign in term:
                 node = node.setdefault(sign, {})
             node[""] = term
 
-    def may_match(self, token: str) -> bool:
-        n = len(token)
+    def may_match(self, token: str) -> set[int]:
+        """The numbers of edits whose tries may have a term near the token."""
+        n, found = len(token), set()
         for length in range(n - 2, n + 3):
-            if length in self.parts and abs(length - n) <= (edits := edits_for(length)):
+            if length in self.parts and abs(length - n) <= (edits := edits_for(length)) and edits not in found:
                 cuts, (starts, ends, middles) = cuts_of(length), self.parts[length]
-                if token[: cuts[1]] in starts or token[cuts[-2] - length :] in ends:
-                    return True
-                if middles and any(token[cuts[1] + k : cuts[2] + k] in middles for k in range(-edits, edits + 1)):
-                    return True
-        return False
+                if token[: cuts[1]] in starts or token[cuts[-2] - length :] in ends or middles and any(token[cuts[1] + k : cuts[2] + k] in middles for k in range(-edits, edits + 1)):
+                    found.add(edits)
+        return found
 
     def search(self, token: str) -> tuple[str, int] | None:
         """The nearest term within its edits and its distance; of equally near ones the heaviest, then the first.
@@ -140,33 +113,17 @@ class Lexicon:
         """
         if token in self.terms:
             return token, 0
-        if len(token) < 4:
-            return None
-        near: set[str] = set()
-        possible = bool(self.parts) and self.may_match(token)
-        for edits, left in self.left.items():
-            low, high = self.lengths[edits]
-            if low - edits <= len(token) <= high + edits and (possible or edits < 2):
-                for word in deletions(token, edits):
-                    if word in left:
-                        near.update(left[word])
-        tries = self.tries if possible else {}
-        if not near and not tries:
+        possible = self.may_match(token) if len(token) >= 4 else ()
+        if not possible:
             return None
         places: dict[str, int] = {}
         for i, sign in enumerate(token):
             places[sign] = places.get(sign, 0) | 1 << i
         whole, best = 1 << len(token), None
         limit = 2 * whole - 1
-        searched = list(tries.items())
-        for term in near:
-            line = {"": term}
-            for sign in reversed(term):
-                line = {sign: line}
-            searched.append((edits_for(len(term)), line))
-        for edits, trie in searched:
+        for edits in possible:
             first = tuple((2 << e) - 1 & limit for e in range(edits + 1))
-            stack = [(trie, first)]
+            stack = [(self.tries[edits], first)]
             while stack:
                 node, states = stack.pop()
                 for sign, child in node.items():
@@ -195,7 +152,7 @@ class Model:
     fit: tuple[float, float, float] = (-4.0, 1.5, 0.5)
 
     def __post_init__(self):
-        self.lexicon = Lexicon(self.terms, 0.0)  # look-alikes and halved weights guard against chance hits
+        self.lexicon = Lexicon(self.terms)  # look-alikes and halved weights guard against chance hits
         self.memo: dict[str, float] = {}
 
     def __getstate__(self):
@@ -243,32 +200,32 @@ def context(tokens: list[str], at: int) -> tuple[bool, bool]:
     return opened and closed, any(bare(x) in SPEAKING for x in tokens[low:high])
 
 
+COUNTS = [f"{kind}{f}" for kind in ("toxic", "clean") for f in range(FOLDS)]
+
+
 def word_counts(sample: DataFrame) -> DataFrame:
-    """word, and the documents of the sample that have it: toxic and clean ones of the first half, and of both (all_toxic, all_clean)."""
-    names = ["toxic", "clean", "all_toxic", "all_clean"]
+    """word, and the toxic and clean documents of each fold of the sample that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            columns = np.array(list(counts.values()), np.int64).reshape(-1, 4)
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *map(pa.array, columns.T.copy())], ["word", *names])
+            columns = np.array(list(counts.values()), np.int64).reshape(-1, len(COUNTS))
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *map(pa.array, columns.T.copy())], ["word", *COUNTS])
             counts.clear()
             return batch
 
-        for texts, labels, firsts in rows_of(batches, ["text", "toxic", "first"]):
-            for text, label, first in zip(texts, labels, firsts):
+        for texts, labels, folds in rows_of(batches, ["text", "toxic", "fold"]):
+            for text, label, fold in zip(texts, labels, folds):
                 for word in set(map(bare, set((text or "").lower().split()))):
                     if word:
-                        row = counts.setdefault(word, [0, 0, 0, 0])
-                        row[1 - label] += first
-                        row[3 - label] += 1
-                if len(counts) > 300_000:
+                        counts.setdefault(word, [0] * len(COUNTS))[fold + (1 - label) * FOLDS] += 1
+                if len(counts) > 200_000:
                     yield out()
         yield out()
 
-    counted = sample.select("text", "toxic", "first").mapInArrow(run, "word string, " + ", ".join(f"{x} bigint" for x in names))
-    return counted.groupBy("word").agg(*[F.sum(x).alias(x) for x in names])
+    counted = sample.select("text", "toxic", "fold").mapInArrow(run, "word string, " + ", ".join(f"{x} bigint" for x in COUNTS))
+    return counted.groupBy("word").agg(*[F.sum(x).alias(x) for x in COUNTS])
 
 
 def near_terms(words: DataFrame, model: Model) -> DataFrame:
@@ -292,42 +249,61 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_column
     known = known.groupBy("__id").agg(F.max("toxic").alias("toxic"))
     known = written(known.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(rows), "toxic-labels")  # bounded, so it is broadcast
     sample = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    sample = written(sample.select("doc_id", "text", "toxic", (F.pmod(F.xxhash64(F.lit(7), F.col("doc_id").cast("string")), F.lit(2)) == 0).alias("first")), "toxic-sample")
-    n = {r.toxic: r.n for r in sample.filter("first").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
+    sample = written(sample.select("doc_id", "text", "toxic", F.pmod(F.xxhash64(F.lit(7), F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-sample")
+    n = np.zeros((2, FOLDS))
+    for r in sample.groupBy("toxic", "fold").count().collect():
+        n[1 - r.toxic, r.fold] = r["count"]
+    if not n.sum(1).all():
         return Model({})
-    toxic, clean = float(n[1]), float(n[0])
-
-    def part(a, b):  # a * ln(a / expected)
-        return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-
-    share = (F.col("toxic") + F.col("clean")) / F.lit(toxic + clean)
-    ratio = 2 * (part(F.col("toxic"), share * toxic) + part(F.col("clean"), share * clean) + part(toxic - F.col("toxic"), (1 - share) * toxic) + part(clean - F.col("clean"), (1 - share) * clean))
-    odds = F.log((F.col("toxic") + 0.5) / (toxic - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (clean - F.col("clean") + 0.5))
     words = written(word_counts(sample), "toxic-words")
-    counted = words.withColumn("odds", odds).withColumn("ratio", ratio)
-    chosen = counted.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "word")
-    # a term that is as rare among clean texts as the sample can tell, counts in full
-    terms = {r.word: min(1.0, r.odds / 5.0) * (1 - math.exp(-r.ratio / 20)) for r in chosen.collect()}
+    often = sum((F.col(c) for c in COUNTS), F.lit(0)) >= LEAST_DOCS
+    tested = max(2, words.filter(often).count())
+    least_ratio = 2 * math.log(tested)
+    has_toxic = sum((F.col(f"toxic{f}") for f in range(FOLDS)), F.lit(0)) >= LEAST_DOCS
+    # words of enough toxic documents, and more of them than chance puts there: bounded by the sample, and of the words tested few
+    share = float(n[0].sum() / n.sum())
+    rows = words.filter(has_toxic & (sum((F.col(f"toxic{f}") for f in range(FOLDS)), F.lit(0)) > 2 * share * sum((F.col(c) for c in COUNTS), F.lit(0)))).collect()
+    names, table = [r.word for r in rows], np.array([[r[c] for c in COUNTS] for r in rows], float).reshape(-1, 2, FOLDS)
+
+    def lexicon(without: int | None) -> dict[str, float]:
+        used = [f for f in range(FOLDS) if f != without]
+        (a, b), (toxic, clean) = table[:, :, used].sum(2).T, n[:, used].sum(1)
+        if not toxic or not clean:
+            return {}
+        expected = (a + b) / (toxic + clean)
+        part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+        ratio = 2 * (part(a, expected * toxic) + part(b, expected * clean) + part(toxic - a, (1 - expected) * toxic) + part(clean - b, (1 - expected) * clean))
+        odds = np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5))
+        ok = (a >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (ratio >= least_ratio)
+        # a term that is as rare among clean texts as the sample can tell, counts in full
+        return {names[k]: min(1.0, odds[k] / 5.0) * (1 - math.exp(-ratio[k] / 20)) for k in np.flatnonzero(ok)}
+
+    terms = lexicon(None)
     if not terms:
         return Model({})
-    model = Model(terms)
-    near = near_terms(words.filter("all_clean >= 1 and all_toxic <= all_clean").repartition(partitions(docs.sparkSession)), model)
-    model = Model(terms, frozenset(r.word for r in near.collect()))
+    others = [lexicon(f) for f in range(FOLDS)]
+    every = Model(dict.fromkeys({w for t in (terms, *others) for w in t}, 1.0))
+    clean_words = sum((F.col(f"clean{f}") for f in range(FOLDS)), F.lit(0)) >= 1
+    near = near_terms(words.filter(clean_words).repartition(partitions(docs.sparkSession)), every).collect()
+    clean = lambda r, without: sum(r[f"clean{f}"] for f in range(FOLDS) if f != without)
+    toxic = lambda r, without: sum(r[f"toxic{f}"] for f in range(FOLDS) if f != without)
+    alike = lambda without: frozenset(r.word for r in near if clean(r, without) >= max(1, toxic(r, without)))
+    model = Model(terms, alike(None))
+    folds = docs.sparkSession.sparkContext.broadcast([Model(t, alike(f)) for f, t in enumerate(others)])  # words of SAMPLE_ROWS rows at most
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["toxic", "n", *[f"{kind}{k}" for k in range(4) for kind in ("w", "h")]]
-        for texts, marks in rows_of(batches, ["text", "toxic"]):
+        for texts, marks, of in rows_of(batches, ["text", "toxic", "fold"]):
             out = []
-            for text, mark in zip(texts, marks):
-                hits, size = model.hits(text)
+            for text, mark, fold in zip(texts, marks, of):
+                hits, size = folds.value[fold].hits(text)
                 out.append([mark, size, *[x for c in PRIOR for x in (sum(w for w, k in hits if k == c), sum(k == c for _, k in hits))]])
             yield pa.RecordBatch.from_arrays([pa.array([float(x) for x in column], pa.float64()) for column in zip(*out)], names) if out else pa.RecordBatch.from_pydict({k: pa.array([], pa.float64()) for k in names})
 
     schema = ", ".join(f"{x} double" for x in ["toxic", "n", *[f"{kind}{k}" for k in range(4) for kind in ("w", "h")]])
-    table = np.array(sample.filter("not first").mapInArrow(evidence, schema).collect(), float).reshape(-1, 10)  # at most ``rows`` rows of numbers
+    table = np.array(sample.mapInArrow(evidence, schema).collect(), float).reshape(-1, 10)  # at most ``rows`` rows of numbers
     mark, size = table[:, 0], table[:, 1]
-    base = clean / toxic
+    base = n[1].sum() / n[0].sum()
     for k, c in enumerate(PRIOR):
         a, b = table[mark == 1, 3 + 2 * k].sum(), table[mark == 0, 3 + 2 * k].sum() * min(base, 1.0)
         model.contexts[c] = PRIOR[c] * (a + PRIOR_HITS) / (a + b + PRIOR_HITS)
