@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import citation, grid, text
-from noticelake.operators import attachments, html, listing, notices, references, summary
+from noticelake.operators import attachments, expansion, html, listing, notices, references, summary
 from noticelake.plans import structure
 from noticelake.sources.fixtures import oracle, view
 
@@ -288,6 +288,23 @@ def reference_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.expand(view(spark, sf_dir, "fx_edges"), max_depth=12)
 
 
+_CITED = """c as (select n, 0 as ord, n - n % 10 + (n * 7 + 3) % 10 as dst, false as unknown from fx_citing union all select n, 1, n - n % 10 + (n + 4) % 10, false from fx_citing where n % 9 = 0
+  union all select n, 2, null, true from fx_citing where n % 11 = 0 union all select n, 3, n + 27, false from fx_citing where n % 10 in (0, 5, 7) and n % 300 < 200),
+e as (select c.n as src, c.ord, c.dst, case when unknown then 'Unknown department: XYZ' when f.n is null then 'No working URL found' end as error from c left join fx_citing f on f.n = c.dst)"""
+
+
+@query(f"""with recursive {_CITED},
+p as (select src as root, [src, dst] as path, dst as node, 1 as depth, coalesce(error, case when dst = src then 'Circular reference detected' end) as error from e
+  union all select p.root, list_append(p.path, e.dst), e.dst, p.depth + 1, coalesce(e.error, case when list_contains(p.path, e.dst) then 'Circular reference detected' end) from p join e on e.src = p.node where p.error is null)
+select f.title, f.url, count(p.depth) filter (where p.depth = 1) as refs, count(p.depth) as size, count(p.error) as errors, coalesce(max(p.depth), 0) as height from fx_citing f left join p on p.root = f.n group by f.title, f.url""", "fx_citing")
+def citation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every notice's citations expand to: direct ones, all, those that end in an error, and the longest chain."""
+    pages = view(spark, sf_dir, "fx_citing")
+    entries, _ = expansion.citation_tree(pages.select("title"), pages.select("url", "text"))
+    found = entries.filter(F.col("url").isNotNull() & ~F.contains("entry", F.lit(expansion.WAY)))
+    return found.select("title", "url", *[F.col(c).cast("bigint").alias(c) for c in ("refs", "size", "errors")], "height")
+
+
 @query(f"""with {_NOTICES}, n as (select 'd' || cast(page_id % 6 as varchar) as dept, cast(2000 + page_id % 20 as varchar) as year, kind from notices)
 select dept, year, count(*) filter (where kind = 'circular') as circulars, count(*) filter (where kind = 'circular_letter') as circular_letters, count(*) as total, count(distinct year) as years_processed
 from n group by grouping sets ((dept, year), (dept))""", "fx_listing_rows")

@@ -64,6 +64,27 @@ from orders
 """,
 }
 
+# Notices by order, each with its address and a text that cites others: within its ten (cycles among those that exist), from some tens to the next,
+# an unknown department here and there, and notices that do not exist.
+_YEAR = "cast(2003 + ({n}) % 12 as string)"
+_TITLE = "'BPRD Circular No. ' || cast({n} as string) || ' of ' || " + _YEAR
+
+
+def _citing() -> str:
+    title, year = (lambda n: _TITLE.format(n=n)), (lambda n: _YEAR.format(n=n))
+    key = "o_orderkey"
+    number = f"case when {key} < 10 then '0' else '' end || cast({key} as string)"
+    return f"""
+select {key} as n, {title(key)} as title,
+  'https://host.example/' || case when 2003 + {key} % 12 <= 2006 then 'bpd' else 'bprd' end || '/' || {year(key)} || '/C' || {number} || '.htm' as url,
+  'Refer to ' || {title(f"{key} - {key} % 10 + ({key} * 7 + 3) % 10")} || '. ' || case when {key} % 9 = 0 then 'Also ' || {title(f"{key} - {key} % 10 + ({key} + 4) % 10")} || '. ' else '' end
+  || case when {key} % 11 = 0 then 'See XYZ Circular 3 of 2010. ' else '' end || case when {key} % 10 in (0, 5, 7) and {key} % 300 < 200 then 'And ' || {title(f"{key} + 27")} || '.' else '' end as text
+from orders
+"""
+
+
+VIEWS["fx_citing"] = _citing()
+
 # Articles in the places where notices have theirs, with paragraphs made to lists, tables, quotes and numbered points; as ends are missing or stand
 # where nothing is open, pages of all shapes come out.
 _ARTICLES = ("""'<div class="content"><blockquote>'""", """'<table width="95%"><tr><td>'""", """'<div align="justify">'""", """'<div id="content">'""", "'<div>'", "'<blockquote>'")
