@@ -75,35 +75,44 @@ def bare(token: str) -> str:
 class Lexicon:
     """Tries of terms, one for each number of edits, searched by Levenshtein automata.
 
-    Of a term cut into one part more than it may have edits one part at least is unchanged, and shifted by no more than the edits: a token that has
-    no such part of any term is not run through the trie at all, and nothing is lost by that."""
+    Of a term cut into one part more than it may have edits one part at least is unchanged, and shifted by no more than the edits.  So each part has a
+    bit, each node of a trie the bits of the terms below, and a token is only run through the branches that have a part of its own: most tokens
+    have none, and nothing is lost by that."""
 
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
         self.tries: dict[int, dict] = {}
-        self.parts: dict[int, tuple[set[str], set[str], set[str]]] = {}
+        self.parts: dict[int, tuple[dict[str, int], dict[str, int], dict[str, int]]] = {}
+        bits = 0
         for term in terms:
             edits = edits_for(len(term))
             if not edits:
                 continue
-            cuts, (starts, ends, middles) = cuts_of(len(term)), self.parts.setdefault(len(term), (set(), set(), set()))
-            starts.add(term[: cuts[1]])
-            ends.add(term[cuts[-2] :])
-            if edits == 2:
-                middles.add(term[cuts[1] : cuts[2]])
+            cuts, kinds = cuts_of(len(term)), self.parts.setdefault(len(term), ({}, {}, {}))
+            below = 0
+            for kind, part in zip(kinds, (term[: cuts[1]], term[cuts[-2] :], *[term[cuts[1] : cuts[2]]] * (edits == 2))):
+                if part not in kind:
+                    kind[part] = 1 << bits
+                    bits += 1
+                below |= kind[part]
             node = self.tries.setdefault(edits, {})
             for sign in term:
-                node = node.setdefault(sign, {})
-            node[""] = term
-
-    def may_match(self, token: str) -> set[int]:
-        """The numbers of edits whose tries may have a term near the token."""
-        n, found = len(token), set()
+                entry = node.setdefault(sign, [{}, 0])
+                entry[1] |= below
+                node = entry[0]
+            node[""] = [term, below]
+
+    def may_match(self, token: str) -> int:
+        """The bits of the parts that the token has where a term has them."""
+        n, found = len(token), 0
         for length in range(n - 2, n + 3):
-            if length in self.parts and abs(length - n) <= (edits := edits_for(length)) and edits not in found:
+            if length in self.parts and abs(length - n) <= (edits := edits_for(length)):
                 cuts, (starts, ends, middles) = cuts_of(length), self.parts[length]
-                if token[: cuts[1]] in starts or token[cuts[-2] - length :] in ends or middles and any(token[cuts[1] + k : cuts[2] + k] in middles for k in range(-edits, edits + 1)):
-                    found.add(edits)
+                found |= starts.get(token[: cuts[1]], 0) | ends.get(token[cuts[-2] - length :], 0)
+                if middles:
+                    a, b = cuts[1], cuts[2]
+                    for k in range(-edits, edits + 1):
+                        found |= middles.get(token[a + k : b + k], 0)
         return found
 
     def search(self, token: str) -> tuple[str, int] | None:
@@ -113,7 +122,7 @@ class Lexicon:
         """
         if token in self.terms:
             return token, 0
-        possible = self.may_match(token) if len(token) >= 4 else ()
+        possible = self.may_match(token) if len(token) >= 4 else 0
         if not possible:
             return None
         places: dict[str, int] = {}
@@ -121,12 +130,14 @@ class Lexicon:
             places[sign] = places.get(sign, 0) | 1 << i
         whole, best = 1 << len(token), None
         limit = 2 * whole - 1
-        for edits in possible:
+        for edits, trie in self.tries.items():
             first = tuple((2 << e) - 1 & limit for e in range(edits + 1))
-            stack = [(self.tries[edits], first)]
+            stack = [(trie, first)]
             while stack:
                 node, states = stack.pop()
-                for sign, child in node.items():
+                for sign, (child, below) in node.items():
+                    if not below & possible:
+                        continue
                     if sign == "":
                         distance = next((e for e, x in enumerate(states) if x & whole), None)
                         if distance is not None and (best is None or (distance, -self.terms[child], child) < best):
