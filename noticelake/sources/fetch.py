@@ -12,6 +12,8 @@ Get = Callable[[str, dict[str, str], float], tuple[int, bytes]]
 #: What waiting for pages and for PDF files takes: tries, seconds between them, seconds until a try is given up (fixed values).
 PAGE = {"attempts": 1, "pause": 0.0, "timeout": 10.0}
 PDF = {"attempts": 25, "pause": 15.0, "timeout": 60.0}
+#: The status of a proxy whose origin gave no proper answer: the one that passes by itself, and so is asked again.
+PASSING = 520
 HEADERS = {"User-Agent": "Mozilla/5.0", "Accept": "text/html,application/pdf,*/*", "Accept-Language": "en-US,en;q=0.9"}
 PDF_MARK = b"%PDF"
 
@@ -28,32 +30,40 @@ def web_get(url: str, headers: dict[str, str], timeout: float) -> tuple[int, byt
         return error.code, b""
 
 
-def fetched(urls: DataFrame, get: Get = web_get, attempts: int = 1, pause: float = 0.0, timeout: float = 10.0, headers: dict[str, str] = HEADERS, mark: bytes = b"", wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """url, content, tries and error of every row of urls (column url): content is null where error is not.
+def fetch_one(url: str | None, get: Get = web_get, attempts: int = 1, pause: float = 0.0, timeout: float = 10.0, headers: dict[str, str] = HEADERS, mark: bytes = b"", wait: Callable[[float], None] = time.sleep) -> tuple[str | None, bytes | None, int, str | None]:
+    """url, content, tries and error of one address.
 
-    An answer counts if its status is 2xx and its body starts with mark; any other, and any exception, is tried again after a pause until the
-    attempts are used up, and then is an error and not a failed task.  A null url is an error.  Rows are fetched where they
-    are: deal them out before, as the hosts allow.
+    An answer counts if its status is 2xx and its body starts with mark.  What passes by itself is tried again after a pause until the attempts are
+    used up: status PASSING, lost connections, time that runs out, and other exceptions.  Any other status and other content are final at once.
     """
-    def one(url: str | None) -> tuple:
-        error = "no address"
-        for k in range(attempts if url else 0):
-            if k:
-                wait(pause)
-            try:
-                status, body = get(url, headers, timeout)
-                if 200 <= status < 300 and body.startswith(mark):
-                    return url, body, k + 1, None
-                error = f"status {status}" if not 200 <= status < 300 else "other content"
-            except Exception as failure:  # a connection may fail in any way
-                error = f"{type(failure).__name__}: {failure}"
-        return url, None, attempts if url else 0, error
+    error, tries = "no address", 0
+    while url and tries < attempts:
+        if tries:
+            wait(pause)
+        tries += 1
+        try:
+            status, body = get(url, headers, timeout)
+        except Exception as failure:  # a connection may fail in any way
+            error = f"{type(failure).__name__}: {failure}"
+            continue
+        if 200 <= status < 300:
+            return (url, body, tries, None) if body.startswith(mark) else (url, None, tries, "other content")
+        error = f"status {status}"
+        if status != PASSING:
+            break
+    return url, None, tries, error
+
 
+def fetched(urls: DataFrame, get: Get = web_get, attempts: int = 1, pause: float = 0.0, timeout: float = 10.0, headers: dict[str, str] = HEADERS, mark: bytes = b"", wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """url, content, tries and error of every row of urls (column url), by fetch_one: content is null where error is not, and an address that
+    fails is no failed task.  A null url is an error.  Rows are fetched where they are: deal them out before, as the hosts allow, or use PageSource.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("url", pa.string()), ("content", pa.binary()), ("tries", pa.int32()), ("error", pa.string())])
         for batch in batches:
             for url in batch.column("url").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([x], field.type) for x, field in zip(one(url), schema)], schema=schema)
+                row = fetch_one(url, get, attempts, pause, timeout, headers, mark, wait)
+                yield pa.RecordBatch.from_arrays([pa.array([x], field.type) for x, field in zip(row, schema)], schema=schema)
 
     return urls.select("url").mapInArrow(run, "url string, content binary, tries int, error string")
 

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from noticelake.operators import summary
@@ -5,12 +7,30 @@ from noticelake.sources import departments, fetch, files
 from noticelake.streaming import pages
 
 
-def test_cache_and_sinks(spark, tmp_path):
+def test_cache(spark, tmp_path):
     cache = files.CitationCache(spark, str(tmp_path / "cache"))
-    resolved = spark.createDataFrame([("a", "u1"), ("b", None), ("a", "u1")], "title string, url string")
-    cache.add(resolved), cache.add(resolved)
-    assert [(r.title, r.url) for r in cache.load().collect()] == [("a", "u1")]
-    assert [r.title for r in cache.missing(spark.createDataFrame([("a",), ("b",)], "title string")).collect()] == ["b"]
+    assert cache.load().collect() == [] and cache.parts() == []
+    resolved = spark.createDataFrame([("BSD Circular No. 05 of 2003", "u1"), ("b", None), ("bsd circular 5 of 2003", "u1")], "title string, url string")
+    cache.add(resolved, "one"), cache.add(resolved, "one")
+    assert len(cache.parts()) == 1
+    assert [(r.norm_key, r.title, r.url, r.citations) for r in cache.load().collect()] == [("bsd circular 5 2003", "BSD Circular No. 05 of 2003", "u1", [])]
+    asked = spark.createDataFrame([("BSD circular 5 of 2003",), ("b",), ("BSD Circular Letter 5 of 2003",)], "title string")
+    assert sorted(r.title for r in cache.missing(asked).collect()) == ["BSD Circular Letter 5 of 2003", "b"]
+    # runs at once, one of which dies before it is complete
+    runs = [spark.createDataFrame([(f"ABC Circular {k} of 2010", f"u{k}")], "title string, url string") for k in range(4)]
+    with ThreadPoolExecutor() as pool:
+        list(pool.map(cache.add, runs))
+    (tmp_path / "cache" / "add-dead").mkdir()
+    (tmp_path / "cache" / "add-dead" / "part-0.parquet").write_bytes(b"half a file")
+    assert cache.load().count() == 5 and len(cache.parts()) == 5
+    before = sorted(map(tuple, cache.load().collect()))
+    cache.compact()
+    assert len(cache.parts()) == 1 and sorted(map(tuple, cache.load().collect())) == before
+    cache.add(spark.createDataFrame([("abc circular 1 of 2010", "later")], "title string, url string"))
+    assert {r.norm_key: r.url for r in cache.load().collect()}["abc circular 1 2010"] == "later"
+
+
+def test_sinks(spark, tmp_path):
     notices = spark.createDataFrame([("acd", 2014, "circular", 1, "t2", None, None, "u2"), ("acd", 2014, "circular", 0, "t1", "i", None, "u1"), ("acd", 2015, "circular_letter", 0, "t3", None, None, "u3")], "dept string, year int, kind string, pos int, title string, id_text string, date_text string, url string")
     files.write_documents(summary.documents(notices), str(tmp_path / "out"), files.run_suffix(True, False))
     doc = spark.read.json(str(tmp_path / "out")).select(F.from_json("document", "years map<string,struct<circulars:array<struct<title:string>>>>").alias("d"), "name").first()
