@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from noticelake.sources import fetch
@@ -97,28 +97,23 @@ class PageReader(DataSourceReader):
         return self.settings.fetch(partition)
 
 
-class PageStream(SimpleDataSourceStreamReader):
-    """New lines of the list, at most ``batch`` a time; offsets are line numbers, so a restarted stream asks for what it had not finished."""
+class PageStream(DataSourceStreamReader):
+    """New lines of the list; offsets are line numbers, so a restarted stream asks for what it had not finished."""
 
-    def __init__(self, settings: Settings, most: int):
-        self.settings, self.most = settings, most
+    def __init__(self, settings: Settings):
+        self.settings = settings
 
     def initialOffset(self) -> dict:
         return {"line": 0}
 
-    def _rows(self, start: int, end: int | None) -> Iterator[tuple]:
-        for share in self.settings.shares(start, end):
-            yield from self.settings.fetch(share)
+    def latestOffset(self) -> dict:
+        return {"line": max((number + 1 for number, _ in lines_of(self.settings.path)), default=0)}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        line = start["line"]
-        end = line
-        for number, _ in lines_of(self.settings.path, line, line + self.most):
-            end = number + 1
-        return self._rows(line, end) if end > line else iter(()), {"line": end}
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        return self.settings.shares(start["line"], end["line"])
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(start["line"], end["line"])
+    def read(self, partition: Share) -> Iterator[tuple]:
+        return self.settings.fetch(partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -135,5 +130,5 @@ class PageSource(DataSource):
     def reader(self, schema: StructType) -> PageReader:
         return PageReader(Settings(self.options))
 
-    def simpleStreamReader(self, schema: StructType) -> PageStream:
-        return PageStream(Settings(self.options), int(self.options.get("batch", "1000")))
+    def streamReader(self, schema: StructType) -> PageStream:
+        return PageStream(Settings(self.options))

@@ -1,9 +1,13 @@
+import threading
+import time
 from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from noticelake.operators import summary
 from noticelake.sources import departments, fetch, files
+from noticelake.sources.web import PageSource
 from noticelake.streaming import pages
 
 
@@ -81,3 +85,87 @@ def test_references_meet_their_attachments(spark):
     refs = spark.createDataFrame([("n1", "u1"), ("n1", "u2"), ("n2", "u1")], "notice string, url string")
     known = spark.createDataFrame([("u1", 3, True, None)], "url string, pages int, text_extractable boolean, notification string")
     assert sorted((r.notice, r.url, r.pages) for r in with_attachments(refs, known).collect()) == [("n1", "u1", 3), ("n1", "u2", None), ("n2", "u1", 3)]
+
+
+def test_retries(spark):
+    """A dead link is asked for once, a passing status to the end."""
+    asked = {}
+
+    def get(url, headers, timeout):
+        asked[url] = asked.get(url, 0) + 1
+        if url == "slow":
+            raise TimeoutError
+        return (200, b"<html>") if url == "page" else (int(url), b"")
+
+    outcomes = {u: fetch.fetch_one(u, get, **fetch.PDF, mark=fetch.PDF_MARK, wait=lambda s: None) for u in ("404", "403", "500", "520", "page", "slow")}
+    assert asked == {"404": 1, "403": 1, "500": 1, "520": 25, "page": 1, "slow": 25}
+    assert {u: (x[2], x[3]) for u, x in outcomes.items()} == {
+        "404": (1, "status 404"), "403": (1, "status 403"), "500": (1, "status 500"), "520": (25, "status 520"), "page": (1, "other content"), "slow": (25, "TimeoutError: "),
+    }
+
+
+@pytest.fixture
+def server():
+    """Answers by path: /ok/x a page, /late/x status 520 twice, /404/x that status, /pdf/x a PDF file."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        asked: list[tuple[str, str]] = []
+
+        def do_GET(self):
+            kind = self.path.split("/")[1]
+            self.asked.append((self.headers["Host"].split(":")[0], self.path))
+            late = kind == "late" and sum(p == self.path for _, p in self.asked) < 3
+            self.send_response(520 if late else int(kind) if kind.isdigit() else 200)
+            self.end_headers()
+            self.wfile.write(b"%PDF-1.4" if kind == "pdf" else b"<p>" + self.path.encode())
+
+        def log_message(self, *args):
+            pass
+
+    served = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=served.serve_forever, daemon=True).start()
+    yield served.server_address[1], Handler.asked
+    served.shutdown()
+
+
+def test_web_pages(spark, tmp_path, server):
+    port, asked = server
+    asked.clear()
+    hosts = [f"http://127.0.0.1:{port}", f"http://localhost:{port}"]
+    lines = [f"{hosts[k % 2]}/{kind}/{k}" for k, kind in enumerate(["ok", "ok", "late", "404", "ok", "ok", "pdf", "520"])]
+    path = tmp_path / "list.txt"
+    path.write_text("\n".join([*lines[:4], "", *lines[4:]]) + "\n")
+    spark.dataSource.register(PageSource)
+    read = lambda **options: spark.read.format("web_pages").options(list=str(path), **options).load()
+    frame = read(attempts=4, pause=0, per_host=2)
+    assert frame.rdd.getNumPartitions() == 4  # two shares of each host
+    found = {r.url: r for r in frame.collect()}
+    assert sorted(found) == sorted(lines) and len(asked) == 8 + 2 + 3
+    assert {u: (r.tries, r.error) for u, r in found.items() if r.error or r.tries > 1} == {lines[2]: (3, None), lines[3]: (1, "status 404"), lines[7]: (4, "status 520")}
+    assert {r.host for r in found.values()} == {"127.0.0.1", "localhost"} and bytes(found[lines[0]].content) == b"<p>/ok/0"
+    # a pace of a tenth of a second between the four addresses of each host
+    began = time.time()
+    read(kind="pdf", attempts=1, delay=0.1).filter("error is null").collect()
+    assert time.time() - began >= 0.3
+    assert [r.url for r in read(kind="pdf", attempts=1).filter("error is null").collect()] == [lines[6]]
+
+
+def test_web_page_stream(spark, tmp_path, server):
+    port, asked = server
+    asked.clear()
+    spark.dataSource.register(PageSource)
+    path = tmp_path / "list.txt"
+    line = lambda k: f"http://localhost:{port}/ok/{k}\n"
+
+    def run():
+        stream = spark.readStream.format("web_pages").option("list", str(path)).load().select("url", "error")
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+
+    path.write_text("".join(map(line, range(3))))
+    run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    path.write_text("".join(map(line, range(5))))
+    run()
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [line(k).strip() for k in range(5)]
+    assert len({p for _, p in asked}) == len(asked) == 5  # none is asked for twice
