@@ -1,4 +1,4 @@
-"""Roll-ups of notices by department and year, and the nested document of a department."""
+"""Roll-ups of notices by department and year."""
 
 from __future__ import annotations
 
@@ -6,31 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def newest_years(notices: DataFrame, most: int) -> DataFrame:
+    """notices of each department's newest years."""
+    newest = Window.partitionBy("dept").orderBy(F.desc("year"))
+    years = notices.select("dept", "year").distinct().withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= most).drop("nth")
+    return notices.join(years, ["dept", "year"])
+
+
 def by_department(notices: DataFrame, max_years: int | None = None) -> DataFrame:
     """dept, year (null: all years), circulars, circular_letters, total and years_processed of notices (dept, year, kind).
 
     One rollup; counts of absent kinds are 0.  With max_years only a department's newest years count.
     """
     if max_years is not None:
-        newest = Window.partitionBy("dept").orderBy(F.desc("year"))
-        years = notices.select("dept", "year").distinct().withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= max_years).drop("nth")
-        notices = notices.join(years, ["dept", "year"])
+        notices = newest_years(notices, max_years)
     rolled = notices.rollup("dept", "year").agg(
         F.count_if(F.col("kind") == "circular").alias("circulars"), F.count_if(F.col("kind") == "circular_letter").alias("circular_letters"),
         F.count(F.lit(1)).alias("total"), F.count_distinct("year").alias("years_processed"), F.grouping("dept").alias("everything"),
     )
     return rolled.filter("everything = 0").drop("everything")
 
-
-def documents(notices: DataFrame) -> DataFrame:
-    """dept and document: years in descending order, each with its circulars, letters and counts; JSON for a sink.
-
-    Rows of a department and year meet in one array, as the sink's format asks; for analysis use the flat rows.
-    """
-    entry = F.struct("pos", "title", F.col("id_text").alias("ID"), F.col("date_text").alias("date"), "url")
-    plain = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))), lambda x: x.dropFields("pos"))
-    years = notices.groupBy("dept", "year").agg(plain("circular").alias("circulars"), plain("circular_letter").alias("circular_letters"))
-    years = years.withColumn("summary", F.struct(F.size("circulars").alias("total_circulars"), F.size("circular_letters").alias("total_circular_letters")))
-    body = F.struct("circulars", "circular_letters", "summary")
-    whole = years.groupBy("dept").agg(F.map_from_entries(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("year").cast("string"), body))))).alias("years"))
-    return whole.select("dept", F.to_json(F.struct("dept", "years")).alias("document"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import citation, grid, text
 from noticelake.operators import attachments, expansion, html, listing, notices, references, summary
 from noticelake.plans import structure
+from noticelake.sources import documents
 from noticelake.sources.fixtures import oracle, view
+from noticelake.sources.scratch import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -318,12 +322,15 @@ def department_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 g as (select dept, year, cast(count(*) filter (where kind = 'circular') as int) as circulars, cast(count(*) filter (where kind = 'circular_letter') as int) as letters, count(distinct url) as addresses from n group by dept, year)
 select *, circulars as total_circulars, letters as total_circular_letters from g""", "fx_listing_rows")
 def department_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested documents of departments, as a reader of their JSON finds them: sizes of the lists, distinct addresses, the totals they state."""
+    """The files of departments, as a reader finds them: sizes of the lists, distinct addresses, the totals they state."""
     found = listing.notices(_rows(spark, sf_dir))
     dept, year = F.concat(F.lit("d"), (F.col("page_id") % 6).cast("string")), (2000 + F.col("page_id") % 20).cast("string")
-    made = summary.documents(found.select(dept.alias("dept"), year.alias("year"), "kind", "pos", "title", "id_text", "date_text", "url"))
+    folder = f"{shared_dir(spark)}/departments-{uuid.uuid4().hex}"
+    documents.write_departments(found.select(dept.alias("dept"), year.alias("year"), "kind", "pos", "title", "id_text", "date_text", "url"), folder)
     lists = "circulars array<struct<url:string>>, circular_letters array<struct<url:string>>, summary struct<total_circulars:int,total_circular_letters:int>"
-    years = made.select("dept", F.explode(F.from_json("document", f"years map<string,struct<{lists.replace(' array', ':array').replace(' struct<total', ':struct<total')}>>")["years"]).alias("year", "of"))
+    schema = f"department string, years map<string,struct<{lists.replace(' array', ':array').replace(' struct<total', ':struct<total')}>>"
+    made = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*_results_structure_aware.json")
+    years = made.select(F.col("department").alias("dept"), F.explode("years").alias("year", "of"))
     addresses = F.size(F.array_distinct(F.transform(F.concat("of.circulars", "of.circular_letters"), lambda x: x["url"]))).cast("bigint")
     return years.select("dept", "year", F.size("of.circulars").alias("circulars"), F.size("of.circular_letters").alias("letters"), addresses.alias("addresses"), "of.summary.total_circulars", "of.summary.total_circular_letters")
 

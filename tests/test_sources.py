@@ -1,3 +1,4 @@
+import json
 import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -5,8 +6,8 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from noticelake.operators import summary
 from noticelake.sources import departments, fetch, files
+from noticelake.sources.documents import DepartmentWriter, Staged, write_departments
 from noticelake.sources.web import PageSource
 from noticelake.streaming import pages
 
@@ -36,14 +37,43 @@ def test_cache(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     notices = spark.createDataFrame([("acd", 2014, "circular", 1, "t2", None, None, "u2"), ("acd", 2014, "circular", 0, "t1", "i", None, "u1"), ("acd", 2015, "circular_letter", 0, "t3", None, None, "u3")], "dept string, year int, kind string, pos int, title string, id_text string, date_text string, url string")
-    files.write_documents(summary.documents(notices), str(tmp_path / "out"), files.run_suffix(True, False))
-    doc = spark.read.json(str(tmp_path / "out")).select(F.from_json("document", "years map<string,struct<circulars:array<struct<title:string>>>>").alias("d"), "name").first()
-    assert list(doc.d.years) == ["2015", "2014"] and [c.title for c in doc.d.years["2014"].circulars] == ["t1", "t2"] and doc.name == "acd_results_with_pdf_content"
+    rows = notices.withColumns({"dept": F.upper("dept"), "dept_url": F.lit("https://d"), "content": F.when(F.col("pos") == 0, F.lit('[{"type": "content", "text": "a\\n\\u00fc"}]'))})
+    write_departments(rows.union(rows.withColumn("dept", F.lit("MFD")).filter("year = 2015")).repartition(3), str(tmp_path / "out"), files.run_suffix(True, False), stamp="now", extra=("content",))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.suffix == ".json") == ["acd_results_with_pdf_content.json", "mfd_results_with_pdf_content.json"]
+    text = (tmp_path / "out" / "acd_results_with_pdf_content.json").read_text()
+    expected = {
+        "department": "ACD", "url": "https://d", "processing_timestamp": "now", "years": {
+            "2015": {"circulars": [], "circular_letters": [{"title": "t3", "url": "u3", "content": [{"type": "content", "text": "a\nü"}]}], "summary": {"total_circulars": 0, "total_circular_letters": 1}},
+            "2014": {"circulars": [{"title": "t1", "ID": "i", "url": "u1", "content": [{"type": "content", "text": "a\nü"}]}, {"title": "t2", "url": "u2"}], "circular_letters": [], "summary": {"total_circulars": 2, "total_circular_letters": 0}},
+        }, "total_years_processed": 2, "summary": {"total_circulars": 2, "total_circular_letters": 1},
+    }
+    assert json.loads(text) == expected and text == json.dumps(expected, indent=2, ensure_ascii=False) + "\n"
+    write_departments(rows, str(tmp_path / "newest"), max_years=1)
+    assert list(json.loads((tmp_path / "newest" / "acd_results_structure_aware.json").read_text())["years"]) == ["2015"]
+    write_departments(rows.limit(0), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("*.json")) if (tmp_path / "none").exists() else True
     files.write_facts(notices, str(tmp_path / "facts"))
     assert spark.read.parquet(str(tmp_path / "facts")).filter("year = 2014").count() == 2
     assert departments.departments(spark).count() == 6
 
 
+def test_aborted_documents_leave_nothing(tmp_path):
+    from pyspark.sql import Row
+
+    writer = DepartmentWriter({"path": str(tmp_path)})
+    row = Row(dept="A", dept_url=None, year="2014", kind="circular", pos=0, entry='{"title": "t"}')
+    staged = writer.write(iter([row]))
+    assert len(list(tmp_path.iterdir())) == 1 and not list(tmp_path.glob("a_*"))
+    writer.abort([staged, None])
+    assert not list(tmp_path.iterdir())
+    with pytest.raises(ValueError):  # a task that fails takes its files away
+        writer.write(iter([row, Row(dept="B", dept_url=None, year="2014", kind="circular", pos=0, entry="no json")]))
+    assert not list(tmp_path.iterdir())
+    first, again = writer.write(iter([row])), writer.write(iter([row]))  # run twice, committed once
+    writer.commit([again, Staged()])
+    assert [p.name for p in tmp_path.glob("a_*")] == ["a_results_structure_aware.json"] and first.files != again.files
+
+
 def test_attachments(spark, tmp_path):
     (tmp_path / "a.PDF").write_bytes(b"%PDF-1.4"), (tmp_path / "b.pdf").write_bytes(b"<html>"), (tmp_path / "c.txt").write_bytes(b"%PDF")
     assert [r.path.rsplit("/")[-1] for r in files.attachments(spark, str(tmp_path)).collect()] == ["a.PDF"]
