@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noticelake.functions import citation, grid, text
 from noticelake.operators import attachments, expansion, html, listing, notices, references, summary
 from noticelake.plans import structure
-from noticelake.sources import documents
+from noticelake.sources import departments, documents
 from noticelake.sources.fixtures import oracle, view
 from noticelake.sources.scratch import shared_dir
 
@@ -67,8 +67,8 @@ def normalize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with p as ({_parts('title', 'fx_ref_titles', 'k, title')}) select k, dept as department, {_YEAR} as year, {_CODE.format(y=_YEAR)} as code from p", "fx_ref_titles")
 def department_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = references.candidates(view(spark, sf_dir, "fx_ref_titles"))
-    return found.select("k", "parsed.department", "parsed.year", "code")
+    parts = text.once(view(spark, sf_dir, "fx_ref_titles"), p=citation.parsed(F.col("title"))).select("k", "p.department", "p.year")
+    return departments.with_code(parts, F.col("department"), F.col("year"), departments.codes(spark))
 
 
 _CANDIDATES = f"""p as ({_parts('title', 'fx_ref_titles', 'k, title')}),

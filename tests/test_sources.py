@@ -199,3 +199,13 @@ def test_web_page_stream(spark, tmp_path, server):
     run()
     assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [line(k).strip() for k in range(5)]
     assert len({p for _, p in asked}) == len(asked) == 5  # none is asked for twice
+
+
+def test_department_codes_by_period(spark):
+    from noticelake.functions import citation
+
+    rows = spark.createDataFrame([(d, y) for d in ("BPRD", "bsd", "AC&MFD", "BPD", "none", None) for y in ("2006", "2007", "1999", None, "", "x")], "department string, year string")
+    found = departments.with_code(rows, F.col("department"), F.col("year"), departments.codes(spark))
+    both = found.withColumn("plain", citation.department_code(F.col("department"), F.col("year")))
+    assert both.count() == 36 and both.filter(~F.col("code").eqNullSafe(F.col("plain"))).isEmpty()
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
