@@ -35,7 +35,7 @@ LEAST_DOCS, LEAST_ODDS = 3, 2.0
 FOLDS = 4
 WINDOW = 8
 THRESHOLD = 0.7
-MEMO_TOKENS = 200_000
+MEMO_TOKENS = 400_000
 
 OPENING, CLOSING = "\"'“„‘‚«‹([", "\"'”“’‘»›)]"
 QUOTES = "\"“”„‘‚«»‹›"
@@ -83,6 +83,7 @@ class Lexicon:
         self.terms = terms
         self.tries: dict[int, dict] = {}
         self.parts: dict[int, tuple[dict[str, int], dict[str, int], dict[str, int]]] = {}
+        self.plans: dict[int, list[tuple[dict[str, int], int, int]]] = {}
         bits = 0
         for term in terms:
             edits = edits_for(len(term))
@@ -102,17 +103,31 @@ class Lexicon:
                 node = entry[0]
             node[""] = [term, below]
 
+    def lookups(self, n: int) -> list[tuple[dict[str, int], int, int]]:
+        """Where tokens of n letters may have parts of terms: bits of the parts, from and to; places that several lengths of terms share once."""
+        at: dict[tuple[int, int], dict[str, int]] = {}
+        for length, (starts, ends, middles) in self.parts.items():
+            edits = edits_for(length)
+            if abs(length - n) > edits:
+                continue
+            cuts = cuts_of(length)
+            spots = [(starts, 0, cuts[1]), (ends, n - (length - cuts[-2]), n), *((middles, cuts[1] + k, cuts[2] + k) for k in range(-edits, edits + 1))]
+            for parts, start, end in spots:
+                if parts:
+                    merged = at.setdefault((max(start, 0), end), {})
+                    for part, bit in parts.items():
+                        merged[part] = merged.get(part, 0) | bit
+        return [(parts, start, end) for (start, end), parts in at.items()]
+
     def may_match(self, token: str) -> int:
         """The bits of the parts that the token has where a term has them."""
-        n, found = len(token), 0
-        for length in range(n - 2, n + 3):
-            if length in self.parts and abs(length - n) <= (edits := edits_for(length)):
-                cuts, (starts, ends, middles) = cuts_of(length), self.parts[length]
-                found |= starts.get(token[: cuts[1]], 0) | ends.get(token[cuts[-2] - length :], 0)
-                if middles:
-                    a, b = cuts[1], cuts[2]
-                    for k in range(-edits, edits + 1):
-                        found |= middles.get(token[a + k : b + k], 0)
+        found, n = 0, len(token)
+        if n not in self.plans:
+            self.plans[n] = self.lookups(n)
+        for parts, start, end in self.plans[n]:
+            part = token[start:end]
+            if part in parts:
+                found |= parts[part]
         return found
 
     def search(self, token: str) -> tuple[str, int] | None:
@@ -165,6 +180,7 @@ class Model:
     def __post_init__(self):
         self.lexicon = Lexicon(self.terms)  # look-alikes and halved weights guard against chance hits
         self.memo: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
     def __getstate__(self):
         return {"terms": self.terms, "lookalikes": self.lookalikes, "contexts": self.contexts, "fit": self.fit}
@@ -177,11 +193,14 @@ class Model:
         """Of a raw token: its term's weight, halved for each edit; 0 for no hit."""
         got = self.memo.get(token)
         if got is None:
-            if len(self.memo) >= MEMO_TOKENS:
-                self.memo.clear()
-            word = bare(token)
-            hit = self.lexicon.search(word) if word else None
-            got = self.memo[token] = 0.0 if hit is None or (hit[1] and word in self.lookalikes) else self.terms[hit[0]] * 0.5 ** hit[1]
+            got = self.older.get(token)
+            if got is None:
+                word = bare(token)
+                hit = self.lexicon.search(word) if word else None
+                got = 0.0 if hit is None or (hit[1] and word in self.lookalikes) else self.terms[hit[0]] * 0.5 ** hit[1]
+            if len(self.memo) >= MEMO_TOKENS:  # the one before stays for what is still in use
+                self.older, self.memo = self.memo, {}
+            self.memo[token] = got
         return got
 
     def hits(self, text: str | None) -> tuple[list[tuple[float, tuple[bool, bool]]], int]:
