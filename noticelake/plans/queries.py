@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import citation, grid, text
-from noticelake.operators import attachments, expansion, html, listing, notices, references, summary
+from noticelake.operators import attachments, expansion, flow, html, listing, notices, references, summary
 from noticelake.plans import structure
 from noticelake.sources import departments, documents
 from noticelake.sources.fixtures import oracle, view
-from noticelake.sources.scratch import shared_dir
+from noticelake.sources.scratch import shared_dir, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -309,6 +309,58 @@ def citation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("title", "url", *[F.col(c).cast("bigint").alias(c) for c in ("refs", "size", "errors")], "height")
 
 
+_SITE = """s as (select *, 'u' || cast(n // 240 as varchar) as dept, 2003 + n % 12 as year, 'BPRD Circular No. ' || cast(n as varchar) || ' of ' || cast(2003 + n % 12 as varchar) as id_text,
+  case n % 3 when 0 then 'KYC rules, number ' when 1 then 'Holiday notice ' else 'On AML guidance ' end || cast(n as varchar) as heading from fx_citing)"""
+
+
+def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Departments of 240 notice numbers each, and all pages: of departments, of their years, of notices."""
+    n = F.col("n")
+    rows = view(spark, sf_dir, "fx_citing").select("n", "title", "url", "text", F.concat(F.lit("u"), F.floor(n / 240).cast("string")).alias("dept"), (2003 + n % 12).cast("string").alias("year"))
+    heading = F.concat(F.when(n % 3 == 0, "KYC rules, number ").when(n % 3 == 1, "Holiday notice ").otherwise("On AML guidance "), n.cast("string"))
+    line = F.concat(F.lit("<tr><td>"), "title", F.lit("</td><td>May 1, "), "year", F.lit('</td><td><a href="'), F.regexp_replace("url", "^https://host.example", ""), F.lit('">'), heading, F.lit("</a></td></tr>"))
+    lines = lambda of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", of))), lambda x: x["line"]), "\n")
+    joined = lambda df, by: df.groupBy(*by).agg(lines("line").alias("lines"))
+    index = joined(rows.select("dept", "year", F.col("n").alias("at"), line.alias("line")), ["dept", "year"])
+    url = lambda *parts: F.concat(F.lit("https://host.example/"), *parts)
+    year_pages = index.select(url(F.col("dept"), F.lit("/"), F.col("year"), F.lit("/index.htm")).alias("url"), F.concat(F.lit("<table><caption>Circular list "), "year", F.lit("</caption>"), "lines", F.lit("</table>")).alias("html"))
+    link = F.concat(F.lit('<li><a href="'), F.col("year"), F.lit('/index.htm">Year <b>'), F.col("year"), F.lit("</b></a>"))
+    menu = joined(index.select("dept", F.col("year").alias("at"), link.alias("line")), ["dept"])
+    tops = menu.select("dept", url(F.col("dept"), F.lit("/index.htm")).alias("url"), F.concat(F.lit("<ul><li><a href='/20/help.htm'>2001</a>"), "lines", F.lit("</ul>")).alias("html"))
+    body = F.concat(F.lit('<table width="95%"><tr><td>Ref No. '), n.cast("string"), F.lit(" Karachi, January 5, "), "year", F.lit("</td></tr><tr><td><blockquote><p>"), "text", F.lit("</p><p>" + "Filler words stand here. " * 45 + "</p></blockquote></td></tr></table>"))
+    pages = rows.filter(n % 8 != 6).select("url", body.alias("html"))
+    return tops.select("dept", "url"), tops.select("url", "html").union(year_pages).union(pages)
+
+
+@query(f"""with recursive {_SITE}, known as (select * from s where n % 8 <> 6),
+c as (select n, 0 as ord, n - n % 10 + (n * 7 + 3) % 10 as dst, false as unknown from known union all select n, 1, n - n % 10 + (n + 4) % 10, false from known where n % 9 = 0
+  union all select n, 2, null, true from known where n % 11 = 0 union all select n, 3, n + 27, false from known where n % 10 in (0, 5, 7) and n % 300 < 200),
+e as (select c.n as src, c.ord, c.dst, case when unknown then 'Unknown department: XYZ' when f.n is null then 'No working URL found' end as error from c left join known f on f.n = c.dst),
+p as (select src as root, [src, dst] as path, dst as node, 1 as depth, error from e
+  union all select p.root, list_append(p.path, e.dst), e.dst, p.depth + 1, coalesce(e.error, case when list_contains(p.path, e.dst) then 'Circular reference detected' end) from p join e on e.src = p.node where p.error is null),
+t as (select root, count(*) as size, count(error) as errors from p group by root),
+listed as (select * from s where n % 3 <> 1 and (dept, year) in (select dept, year from (select distinct dept, year from s) qualify row_number() over (partition by dept order by year desc) <= 5))
+select l.dept, l.year::int as year, l.id_text, l.heading as title, case when l.n % 8 <> 6 then 'January 5, ' else 'May 1, ' end || cast(l.year as varchar) as date_text, l.n % 8 <> 6 as found, count(e.src) as citations,
+  coalesce(sum(case when e.src is null then 0 else 1 + case when e.error is null then coalesce(t.size, 0) else 0 end end), 0)::bigint as expanded,
+  coalesce(sum(case when e.error is not null then 1 else coalesce(t.errors, 0) end) filter (where e.src is not null), 0)::bigint as errors
+from listed l left join e on e.src = l.n left join t on t.root = e.dst group by all""", "fx_citing")
+def notice_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the pages of departments to their newest five years' notices, with citations expanded as far as they go."""
+    tops, site = _site(spark, sf_dir)
+    whole, cited = flow.collected(tops, written(site, "site"), max_years=5)
+    number = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    counts = cited.groupBy("notice").agg(F.count("*").alias("citations"), number(1 + F.coalesce("size", F.lit(0))).alias("expanded"), number(F.when(F.col("error").isNotNull(), 1).otherwise(F.col("errors"))).alias("errors"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return whole.join(counts, "notice", "left").select("dept", "year", "id_text", "title", "date_text", "found", zero("citations"), zero("expanded"), zero("errors"))
+
+
+@query("""with recursive e as (select distinct src, dst from fx_edges),
+r as (select src as root, dst as node from e union select r.root, e.dst from r join e on e.src = r.node) select root, node from r where root <> node""", "fx_edges")
+def reference_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each node leads to, however far."""
+    return references.reachable(view(spark, sf_dir, "fx_edges"))
+
+
 @query(f"""with {_NOTICES}, n as (select 'd' || cast(page_id % 6 as varchar) as dept, cast(2000 + page_id % 20 as varchar) as year, kind from notices)
 select dept, year, count(*) filter (where kind = 'circular') as circulars, count(*) filter (where kind = 'circular_letter') as circular_letters, count(*) as total, count(distinct year) as years_processed
 from n group by grouping sets ((dept, year), (dept))""", "fx_listing_rows")
