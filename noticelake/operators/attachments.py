@@ -10,6 +10,8 @@ from noticelake.functions.text import strip
 
 IMAGE_ONLY = "PDF contains primarily image content with minimal extractable text"
 LIMITED = "PDF has limited extractable text content"
+DESPITE = ("PDF contains ", " images but text was successfully extracted")
+NOT_FETCHED = "Failed to download PDF"
 
 
 def page_text(text: Column) -> Column:
@@ -42,6 +44,23 @@ def gate(pages: DataFrame) -> DataFrame:
     return out.withColumn("notification", F.when(~F.col("text_extractable"), F.when((F.col("image_count") > 0) & (F.col("text_length") < 50), IMAGE_ONLY).otherwise(LIMITED)))
 
 
+def outcomes(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """What comes of each file: url, status (error, notification or content), error, notification, pages, image_count, text_length.
+
+    files: url and fetched (whether there are bytes), one row for each address; pages: url, page_number, text, images, as fetch.pdf_pages has them
+    (rows without a page number, of files that cannot be read, count as no pages).  A file that was not fetched is an error.  One
+    without enough text, which holds of unreadable ones, is a notification alone; of others there is content, with a notification if there are images, too.
+    """
+    known = gate(pages.filter("page_number is not null").select(F.col("url").alias("doc_id"), "page_number", "text", "images")).withColumnRenamed("doc_id", "known")
+    joined = files.select("url", F.coalesce("fetched", F.lit(False)).alias("fetched")).join(known, F.col("url") == F.col("known"), "left")
+    enough = F.coalesce("text_extractable", F.lit(False))
+    status = F.when(~F.col("fetched"), "error").when(~enough, "notification").otherwise("content")
+    seen = F.when(F.col("image_count") > 0, F.concat(F.lit(DESPITE[0]), F.col("image_count").cast("string"), F.lit(DESPITE[1])))
+    notification = F.when(F.col("fetched"), F.when(enough, seen).otherwise(F.coalesce("notification", F.lit(LIMITED))))
+    number = lambda c: F.when(F.col("fetched"), F.coalesce(c, F.lit(0)).cast("bigint")).alias(c)
+    return joined.select("url", status.alias("status"), F.when(~F.col("fetched"), NOT_FETCHED).alias("error"), notification.alias("notification"), *map(number, ("pages", "image_count", "text_length")))
+
+
 def grids(cells: DataFrame) -> DataFrame:
     """grid_id and rows (array of arrays) of cell rows (grid_id, r, cells): one shuffle by grid."""
     return cells.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("r", "cells"))).alias("found")).select("grid_id", F.transform("found", lambda x: x["cells"]).alias("rows"))

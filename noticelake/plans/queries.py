@@ -477,6 +477,25 @@ def pdf_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attachments.gate(pages)
 
 
+@query(r"""with f as (select distinct doc_id // 3 as doc from documents),
+p as (select doc_id // 3 as doc, doc_id as page_number, coalesce(text, '') as text, doc_id % 2 as images from documents where doc_id // 3 % 7 <> 5 and doc_id // 3 % 11 <> 4),
+g as (select doc, count(*) as pages, cast(sum(images) as bigint) as image_count, cast(length(trim(string_agg(text, '' order by page_number), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160))) as bigint) as text_length from p group by doc),
+a as (select f.doc, f.doc % 7 <> 5 as fetched, coalesce(pages, 0) as pages, coalesce(image_count, 0) as image_count, coalesce(text_length, 0) as text_length from f left join g using (doc))
+select 'https://host.example/f' || cast(doc as varchar) || '.pdf' as url, case when not fetched then 'error' when text_length <= 100 then 'notification' else 'content' end as status, case when not fetched then 'Failed to download PDF' end as error,
+  case when fetched then case when text_length > 100 then case when image_count > 0 then 'PDF contains ' || cast(image_count as varchar) || ' images but text was successfully extracted' end
+    when image_count > 0 and text_length < 50 then 'PDF contains primarily image content with minimal extractable text' else 'PDF has limited extractable text content' end end as notification,
+  case when fetched then pages end as pages, case when fetched then image_count end as image_count, case when fetched then text_length end as text_length from a""")
+def pdf_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three documents' texts each, of which some were not fetched and some cannot be read."""
+    key = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(F.floor(key / 3).alias("doc"), key.alias("page_number"), "text", (key % 2).alias("images"))
+    url = F.concat(F.lit("https://host.example/f"), F.col("doc").cast("string"), F.lit(".pdf"))
+    unread = F.col("doc") % 11 == 4
+    pages = rows.filter(F.col("doc") % 7 != 5).select(url.alias("url"), F.when(~unread, F.col("page_number")).alias("page_number"), "text", "images")
+    files = rows.select("doc").distinct().select(url.alias("url"), (F.col("doc") % 7 != 5).alias("fetched"))
+    return attachments.outcomes(files, pages)
+
+
 @query(f"""with n as (select distinct cast(l_linenumber + l_partkey % 23 as int) as n from lineitem), s as (select n, unnest([null, '1', 'A', 'a', 'I', 'i', 'x']) as style from n),
 tens as (select n, repeat('X', cast(n // 10 as int)) || case n % 10 when 0 then '' when 1 then 'I' when 2 then 'II' when 3 then 'III' when 4 then 'IV' when 5 then 'V' when 6 then 'VI' when 7 then 'VII' when 8 then 'VIII' else 'IX' end as r from n)
 select s.n, s.style, case style when 'A' then chr(64 + s.n) when 'a' then chr(96 + s.n) when 'I' then r when 'i' then lower(r) else cast(s.n as varchar) end || '.' as label from s join tens using (n)""")
