@@ -70,3 +70,6 @@ def test_files_to_outcomes(spark):
     said = {r.doc_id: r for r in attachments.gate(pages.filter("error is null").selectExpr("url as doc_id", "page_number", "text", "images")).collect()}
     assert said["long"].text_extractable and said["long"].notification is None and said["long"].image_count == 5
     assert not said["short"].text_extractable and said["short"].notification is not None
+    fetched = files.selectExpr("url", "content is not null as fetched")
+    found = {r.url: (r.status, r.error is None, r.pages) for r in attachments.outcomes(fetched, pages).collect()}
+    assert found == {"short": ("notification", True, 3), "long": ("content", True, 3), "bad": ("notification", True, 0), "none": ("error", False, None)}
