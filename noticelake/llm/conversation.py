@@ -141,9 +141,11 @@ def _stats(rows: list[tuple], faults: list[int]) -> dict:
     }
 
 
-def segments(rows: DataFrame) -> DataFrame:
-    """Segments of conversations: conv, part and seg (their order), whole (the segment is all of its conversation), counts, roles and texts, and
-    ways (entry, exit, cost, audit): of a whole conversation the cheapest alone, else the cheapest between any two states; digest of a whole one."""
+def segments(rows: DataFrame, texts: bool = True) -> DataFrame:
+    """Segments of conversations: conv, part and seg (their order), whole (the segment is all of its conversation), counts, roles and texts (of whole
+    conversations if texts), and ways (entry, exit, cost, audit): of a whole conversation the cheapest alone, else the cheapest between any two
+    states; digest of a whole one."""
+    keep = texts
     digest = F.sha2("text", 256)
     rows = rows.withColumns({"at": F.struct(F.col("turn").isNotNull().alias("known"), "turn"), "digest": digest})
     first = rows.groupBy(F.col("conv").alias("conv_f"), F.col("role").alias("role_f"), F.col("digest").alias("digest_f")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
@@ -176,7 +178,7 @@ def segments(rows: DataFrame) -> DataFrame:
             else:
                 ways, made = [(entry, *way) for entry in NEXT for way in cheapest(codes, entry, tuple(s for s in NEXT if s != 0 or entry == 0), True) if way], None
             names = ("entry", "exit", "cost", "audit")
-            out.append({"conv": now[0][0], "part": part, "seg": count, "whole": whole, **_stats(now, faults), "roles": roles, "texts": texts, "ways": [dict(zip(names, w)) for w in ways], "digest": made})
+            out.append({"size": len(now), "conv": now[0][0], "part": part, "seg": count, "whole": whole, **_stats(now, faults), "roles": roles if keep or not whole else None, "texts": texts if keep or not whole else None, "ways": [dict(zip(names, w)) for w in ways], "digest": made})
             now, faults, size, count, opened = [], [], 0, count + 1, not ends
 
         for batch in batches:
@@ -190,7 +192,7 @@ def segments(rows: DataFrame) -> DataFrame:
                     now.append(row)
                     before = row[:4]
                     size += len(row[3])
-                if sum(len(x["texts"]) for x in out) > 2 * SEGMENT:
+                if sum(x["size"] for x in out) > 2 * SEGMENT:
                     yield pa.RecordBatch.from_pylist(out, schema)
                     out = []
         if now:
@@ -255,11 +257,13 @@ class Repair:
     A conversation's rows are taken by turn, nulls first, those of a turn by role and text.  Null roles and texts count as one space.  Blank and
     repeated rows are always deleted.  A role counts by its first character, and one that begins with neither s, u nor a can't be kept.
     Ids may be null (a conversation like any other).  Texts and conversations may be of any length; without rows there are no results.
+    Without texts only results() can be had, and what is written is smaller by the texts.
     """
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, texts: bool = True):
+        self.texts = texts
         filled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
-        self.segments = written(segments(rows.select("conv", F.col("turn").cast("bigint").alias("turn"), *filled)), "segments")
+        self.segments = written(segments(rows.select("conv", F.col("turn").cast("bigint").alias("turn"), *filled), texts), "segments")
         id_type = rows.schema["conv"].dataType.simpleString()
         parted = self.segments.filter("not whole").drop("whole", "roles", "texts", "digest")
         ddl = f"conv {id_type}, {RESULT}, pieces array<struct<part:int,seg:int,entry:int,edits:string>>"
@@ -285,6 +289,8 @@ class Repair:
 
     def rows(self) -> DataFrame:
         """conv, part, seg, ord, role and text of the repaired rows, ordered within a conversation by part, seg and ord."""
+        if not self.texts:
+            raise ValueError("the texts of whole conversations were not kept")
         ready = self.segments.filter("whole").select("conv", "part", "seg", "roles", "texts", F.lit(0).alias("entry"), F.element_at("ways", 1)["audit"].alias("edits"))
         found = ready.unionByName(self.pieces())
         id_type = found.schema["conv"].dataType.simpleString()

@@ -127,7 +127,7 @@ select * from ranked where rank <= 5
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    found = conversation.Repair(conversation.damage(rows)).results()
+    found = conversation.Repair(conversation.damage(rows), texts=False).results()
     every = rows.select("conv_id").distinct()
     whole = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
     counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]

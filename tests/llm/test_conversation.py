@@ -88,6 +88,10 @@ def test_table(spark, monkeypatch):
     want = {c: expected(v) for c, v in by.items() if v}
     assert {c: w[:8] for c, w in want.items()} == found
     assert repair.segments.filter("conv = 777").count() > 5
+    bare = Repair(damage(frame), texts=False)
+    assert {r.conv: tuple(r)[1:] for r in bare.results().collect()} == found and bare.segments.filter("whole and texts is not null").isEmpty()
+    with pytest.raises(ValueError):
+        bare.rows()
     made = {}
     for r in sorted(repair.rows().collect(), key=lambda r: (r.part, r.seg, r.ord)):
         made.setdefault(r.conv, []).append((r.role, r.text))
