@@ -35,7 +35,8 @@ LEAST_DOCS, LEAST_ODDS = 3, 2.0
 FOLDS = 4
 WINDOW = 8
 THRESHOLD = 0.7
-MEMO_TOKENS = 400_000
+#: Weights of tokens that a task remembers, twice over.
+MEMO_TOKENS = 100_000
 
 OPENING, CLOSING = "\"'“„‘‚«‹([", "\"'”“’‘»›)]"
 QUOTES = "\"“”„‘‚«»‹›"
@@ -176,6 +177,7 @@ class Model:
     lookalikes: frozenset[str] = frozenset()
     contexts: dict[tuple[bool, bool], float] = field(default_factory=lambda: dict(PRIOR))
     fit: tuple[float, float, float] = (-4.0, 1.5, 0.5)
+    memo_tokens: int = MEMO_TOKENS
 
     def __post_init__(self):
         self.lexicon = Lexicon(self.terms)  # look-alikes and halved weights guard against chance hits
@@ -183,7 +185,7 @@ class Model:
         self.older: dict[str, float] = {}
 
     def __getstate__(self):
-        return {"terms": self.terms, "lookalikes": self.lookalikes, "contexts": self.contexts, "fit": self.fit}
+        return {"terms": self.terms, "lookalikes": self.lookalikes, "contexts": self.contexts, "fit": self.fit, "memo_tokens": self.memo_tokens}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -198,7 +200,7 @@ class Model:
                 word = bare(token)
                 hit = self.lexicon.search(word) if word else None
                 got = 0.0 if hit is None or (hit[1] and word in self.lookalikes) else self.terms[hit[0]] * 0.5 ** hit[1]
-            if len(self.memo) >= MEMO_TOKENS:  # the one before stays for what is still in use
+            if len(self.memo) >= self.memo_tokens:  # the one before stays for what is still in use
                 self.older, self.memo = self.memo, {}
             self.memo[token] = got
         return got
@@ -319,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_column
     toxic = lambda r, without: sum(r[f"toxic{f}"] for f in range(FOLDS) if f != without)
     alike = lambda without: frozenset(r.word for r in near if clean(r, without) >= max(1, toxic(r, without)))
     model = Model(terms, alike(None))
-    folds = docs.sparkSession.sparkContext.broadcast([Model(t, alike(f)) for f, t in enumerate(others)])  # words of SAMPLE_ROWS rows at most
+    folds = docs.sparkSession.sparkContext.broadcast([Model(t, alike(f), memo_tokens=MEMO_TOKENS // FOLDS) for f, t in enumerate(others)])  # words of SAMPLE_ROWS rows at most
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["toxic", "n", *[f"{kind}{k}" for k in range(4) for kind in ("w", "h")]]
