@@ -38,7 +38,7 @@ def test_stages(spark, sf_dir):
 
 def test_registered():
     found = __spark_entry__.queries()
-    assert "pipeline" in found and sorted(int(k[2:].split("_")[0]) for k in found if k.startswith("op") and k[2].isdigit()) == list(range(1, 11))
+    assert "pipeline" in found and sorted(int(k[2:].split("_")[0]) for k in found if k.startswith("op") and k[2].isdigit()) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
