@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution, on hashed word n-grams.
 
-Texts become rows of a sparse document-by-bucket count matrix, kept as Parquet in CSR blocks: a block has some hundred
-documents, and its row pointers, bucket indices and counts.  Column sums of the matrix give the corpus's distribution over
+Texts become rows of a sparse document-by-bucket count matrix, kept as Parquet in CSR blocks: a block has a bounded number
+of entries, and its documents, row pointers, bucket indices and counts.  Column sums of the matrix give the corpus's distribution over
 buckets, those of the target's matrix the target's; the product of the matrix with the log ratios of both (gains) gives each document's
 weight.  Gumbel noise from the document's id turns the highest scores into a draw without replacement.
 
@@ -27,7 +27,9 @@ BUCKETS = 10_000
 #: Words of the longest feature.
 LONGEST = 2
 #: Documents and matrix entries after which a block is closed; bytes of a text that are cut into words at once.
-BLOCK_DOCS, BLOCK_ENTRIES, PIECE = 512, 500_000, 1 << 20
+BLOCK_DOCS, BLOCK_ENTRIES, PIECE = 512, 1 << 14, 1 << 20
+#: Bytes of a Parquet row group of blocks: a reader decodes a row group's arrays at once, so memory is bounded by it and not by the file.
+ROW_GROUP = 4 << 20
 
 # In UTF-8 every byte of a character outside ASCII is over 127, so words can be cut from bytes.
 WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -74,13 +76,14 @@ def count_matrix(docs: DataFrame, text: str = "text", key: str = "doc_id", bucke
     """CSR blocks of docs: ids and words (of each document), indptr (one longer), indices and data (of each entry).
 
     A document is a row: repeated rows and null ids are documents of their own, a null or empty text is an empty row of the matrix.
-    A text of any length takes one row with an entry per bucket at most.
+    A text of any length takes one row with an entry per bucket at most; a block is closed by the text that fills it, so it has fewer than
+    BLOCK_ENTRIES entries and those of one text.
     """
     source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = to_arrow_type(source.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, sizes, indices, data = [], [], [0], [], []
+        ids, words, sizes, indices, data, entries = [], [], [0], [], [], 0
 
         def block() -> pa.RecordBatch:
             columns = [(ids, kind), (words, pa.int64()), (np.cumsum(sizes), pa.int64()), (np.concatenate(indices), pa.int32()), (np.concatenate(data), pa.int32())]
@@ -90,9 +93,10 @@ def count_matrix(docs: DataFrame, text: str = "text", key: str = "doc_id", bucke
             for one, value in zip(some, texts):
                 n, at, counts = features(value, buckets, longest)
                 ids.append(one), words.append(n), sizes.append(len(at)), indices.append(at), data.append(counts)
-                if len(ids) >= BLOCK_DOCS or sum(sizes[-64:]) > BLOCK_ENTRIES:
+                entries += len(at)
+                if len(ids) >= BLOCK_DOCS or entries >= BLOCK_ENTRIES:
                     yield block()
-                    ids, words, sizes, indices, data = [], [], [0], [], []
+                    ids, words, sizes, indices, data, entries = [], [], [0], [], [], 0
         if ids:
             yield block()
 
@@ -162,7 +166,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words:
     document is weighed against equal buckets; without docs there are no rows.  Columns beside key and text are not looked at.
     """
     spark = docs.sparkSession
-    matrix = written(count_matrix(docs, text, key, buckets, longest), "count-matrix")
+    matrix = written(count_matrix(docs, text, key, buckets, longest), "count-matrix", **{"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 8})
     wanted = count_matrix(target.select(F.lit(0).alias("id"), F.col(f"`{target_text}`").alias("text")), "text", "id", buckets, longest)
     gain = gains(dense(column_sums(matrix, buckets), buckets), dense(column_sums(wanted, buckets), buckets))
     scored = weights(matrix, gain, "id").withColumn("score", F.col("weight") + gumbel("id", seed))

@@ -64,3 +64,11 @@ def test_empty(spark):
     few = spark.createDataFrame([(1, "one two", "r", "i")], SCHEMA)
     assert resample(none, few).collect() == [] == resample(none, none).collect()
     assert [(r.n_features, r["rank"]) for r in resample(few, none).collect()] == [(3, None)]
+
+
+def test_blocks_are_bounded(spark):
+    """Many texts of many features: no block, and no row group of the written matrix, grows with the partition."""
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(k, " ".join(map(str, rng.integers(0, 10**9, 1000))), "r", "i") for k in range(300)], SCHEMA).coalesce(1)
+    sizes = [np.diff(r.indptr) for r in importance.count_matrix(docs).select("indptr").collect()]
+    assert sum(map(len, sizes)) == 300 and all(s.sum() - s[-1] < importance.BLOCK_ENTRIES for s in sizes)
