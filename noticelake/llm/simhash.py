@@ -11,10 +11,10 @@ found is verified by the exact Hamming distance.
 Links leave a task as a spanning forest of what it verified, so a dense group gives a row per fingerprint and not per
 pair, and components are completed by alternating large-star and small-star rounds.
 
-One fingerprint of a whole text tells near copies only while few bits differ.  For near copies by similarity
-(``near_copies``) a text has several fingerprints, each of a small min-wise sample of its word shingles: that of one is the
-same for two texts whenever they share the sample.  All go through the same grid join, and texts that meet in any are
-verified by the exact Jaccard similarity of their shingles.
+One fingerprint of a whole text tells near copies only while few bits differ.  Near copies by similarity (``near_copies``) are therefore
+found in two steps.  Texts of one component of fingerprints meet one of them, and what the exact Jaccard similarity of their shingles confirms is
+linked.  Then every pair of texts that is not joined by then meets if it shares a shingle of both prefixes: the rarest shingles of a text, by one order for
+all, as many as a text of the least similarity cannot lack altogether.  So no pair at or above the similarity is lost, whatever its bits.
 """
 
 from __future__ import annotations
@@ -39,15 +39,15 @@ SEED = 42
 BITS = 2
 FINE, COARSE = 16, 4
 PER = FINE // COARSE
-#: Near copies by similarity: words of a shingle, least Jaccard similarity, fingerprints of a text, shingles that each is made of,
-#: and the bits by which these may differ.  Texts at the least similarity meet with a probability of 1 - (1 - 0.8**5)**12 = 0.99.
+#: Near copies by similarity: words of a shingle, least Jaccard similarity.
 WORDS = 5
 SIMILARITY = 0.8
-TABLES, FEATURES = 12, 5
-TABLE_BITS = 1
-#: Bits of a text's sketch: one of the least shingle in each of so many orders, so two texts agree in half of those whose least
-#: shingle differs, and in all others.  Texts further below the similarity than SIGMAS standard deviations are not verified.
-SKETCH_BITS, SIGMAS = 128, 3.0
+#: One text in so many is counted for the order of shingles, and so many of the most frequent ones come last.  Any order is exact; a good one leaves few pairs.
+COUNTED, FREQUENT = 8, 200_000
+#: Pairs in shared cells up to which all meet at once; beyond, the first 1, 8, 64 of each cell go before, so that what they join needs to meet no more.
+CELL_PAIRS = 1_000_000
+#: Slack of products of similarities and sizes, so that rounding never rules a pair out.
+SLACK = 1e-9
 BROADCAST_ROWS = 500_000
 #: Fingerprints of a coarse cell from which it is split.
 CELL_HOSTS = 1_000_000
@@ -296,39 +296,21 @@ def shingles(norm: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(raw[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])], np.uint64))
 
 
-def sampled_fingerprints(found: np.ndarray, tables: int = TABLES, features: int = FEATURES) -> np.ndarray:
-    """Majority fingerprints, one for each of so many orders of the shingles, of the first few shingles in that order."""
-    multipliers = (np.random.default_rng(SEED).integers(0, 2**63, tables, np.uint64) << np.uint64(1)) | np.uint64(1)
-    out = []
-    for at in range(0, tables, 4):  # few at a time: long texts have many shingles
-        x = found[None, :] * multipliers[at : at + 4, None]
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        if x.shape[1] > features:
-            x = np.ascontiguousarray(np.partition(x, features - 1, axis=1)[:, :features])
-        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1, 8), axis=2, bitorder="little")
-        out.append(np.packbits(2 * bits.sum(1, dtype=np.int64) > x.shape[1], axis=1, bitorder="little").view("<u8").ravel())
-    return np.concatenate(out)
-
-
-def sketch(found: np.ndarray, bits: int = SKETCH_BITS) -> list[int]:
-    """One bit of the least shingle in each of so many orders, packed into signed words of 64 bits."""
-    multipliers = (np.random.default_rng(SEED + 1).integers(0, 2**63, bits, np.uint64) << np.uint64(1)) | np.uint64(1)
-    least = np.full(bits, ~np.uint64(0))
-    for at in range(0, len(found), 4096):
-        x = found[at : at + 4096, None] * multipliers[None, :]
-        np.minimum(least, (x ^ (x >> np.uint64(31))).min(0), out=least)
-    mixed = least * np.uint64(0x9E3779B97F4A7C15)
-    return np.packbits((mixed >> np.uint64(63)).astype(np.uint8), bitorder="little").view("<i8").tolist()
-
-
-def may_be_similar(a: str, b: str, similarity: float, bits: int = SKETCH_BITS) -> Column:
-    """Whether sketches (columns of arrays) agree in as many bits as texts of that similarity do, less SIGMAS standard deviations."""
-    share = (1 + similarity) / 2
-    least = share * bits - SIGMAS * math.sqrt(share * (1 - share) * bits)
-    differ = [F.bit_count(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))) for k in range(bits // 64)]
-    return sum(differ[1:], differ[0]) <= F.lit(bits - least)
+def majority(found: np.ndarray) -> int:
+    """The majority fingerprint of the hashes, as a signed number."""
+    ones, raw = np.zeros(64, np.int64), found.view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(raw), 4096):
+        ones += np.unpackbits(raw[at : at + 4096], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
+def prefix(found: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first hashes by (count, hash), as many as leave less than a similar text must have in common; often is ascending, what it lacks counts 0."""
+    many = len(found) - math.ceil(similarity * len(found) - SLACK) + 1
+    if not len(found) or not len(often):
+        return found[: many if len(found) else 0]
+    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+    return found[np.argsort(np.where(often[at] == found, counts[at], 0), kind="stable")[:many]]
 
 
 def words_only(column: str) -> Column:
@@ -346,64 +328,125 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return counted.filter(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES, features: int = FEATURES) -> DataFrame:
+def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the FREQUENT shingles that most of one in COUNTED distinct texts (column norm) have, and by how many; two at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (norms,) in rows_of(batches, ["norm"], most=128):
+            found, many = np.unique(np.concatenate([shingles(x, words) for x in norms]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], ["hash", "many"])
+
+    counted = texts.filter(F.pmod(F.xxhash64("norm"), F.lit(COUNTED)) == 0).select("norm").mapInArrow(run, "hash bigint, many bigint")
+    rows = counted.groupBy("hash").agg(F.sum("many").alias("many")).filter("many > 1").orderBy(F.desc("many"), "hash").limit(FREQUENT).collect()
+    often = np.array([r.hash for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(often)
+    return often[order], np.array([r.many for r in rows], np.int64)[order]
+
+
+def meeting(active: DataFrame, many: int | None, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes with different roots that share a cell, of sizes that allow the similarity; their sizes, and in shared how many cells.
+
+    Of each cell the first ``many`` nodes meet all others; None: all meet all.
+    """
+    first = active
+    if many:
+        first = active.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("place", "node"))).filter(F.col("nth") <= many)
+    first = first.select("cell", *[F.col(c).alias(f"first_{c}") for c in ("node", "place", "size", "root")])
+    after = F.struct("first_place", "first_node") < F.struct("place", "node")
+    near = F.least("size", "first_size") >= F.lit(similarity) * F.greatest("size", "first_size") - F.lit(SLACK)
+    pairs = active.join(first, "cell").filter(after & near & (F.col("root") != F.col("first_root")))
+    low = F.col("first_node") < F.col("node")
+    pairs = pairs.select(
+        F.least("first_node", "node").alias("a"), F.greatest("first_node", "node").alias("b"),
+        F.when(low, F.col("first_size")).otherwise(F.col("size")).alias("size_a"), F.when(low, F.col("size")).otherwise(F.col("first_size")).alias("size_b"),
+    )
+    return pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def enough_shared(similarity: float) -> Column:
+    """Whether sets of size_a and size_b whose prefixes have ``shared`` hashes in common may have that similarity.
+
+    Hashes in common beyond them come after the end of one of the prefixes, so they are no more than that set has there.
+    """
+    rest = lambda size: F.ceil(F.lit(similarity) * F.col(size) - F.lit(SLACK)) - F.lit(1)
+    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - F.lit(SLACK)
+    return F.col("shared") + F.greatest(rest("size_a"), rest("size_b")) >= least
+
+
+def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, node (a digest of the words) and root, one node of each group of near copies.
 
-    Texts with the same words are one node, so those without words are.  Nodes that share a cell of near fingerprints are
-    candidates; those of at least that Jaccard similarity of shingles of so many words are linked, and a group is what links
-    reach.  Repeated rows each keep their row; ids, null or not, are not looked at; other columns are not read.  No rows: no rows.
+    Texts with the same words are one node, so those without words are.  Nodes of at least that Jaccard similarity of shingles of so many words are
+    linked, and a group is what links reach: exactly, no link between groups is lost.  Repeated rows each keep their row; ids, null or
+    not, are not looked at; other columns are not read.  No rows: no rows.
 
-    Within a cell the first 1, 4, 16, ... nodes, in an order of its own, in turn meet all others that are left; a node that is
-    linked leaves the cell, so a cell of copies of one text costs a pair for each, and every pair of nodes that stay is verified, unless
-    sizes or sketches rule it out where it meets.  Cells hold digests, sizes and sketches; shingles are read again for the nodes of cells alone, and a pair is verified once.
+    Components of near fingerprints are joined first, each by pairs of its first node.  Then all pairs that share a cell, a hash of both prefixes, meet unless
+    they have a root in common; by sizes and the number of cells shared most are ruled out, others are verified once.  The more nodes
+    without a common root share rare shingles, the more pairs there are: up to all of them, as each may be a link.  Cells hold digests
+    and sizes; shingles are read again for nodes of cells alone, and those of a node are one row, 8 bytes a shingle.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("doc_id"), words_only(text_column).alias("norm"))
+    often = spark.sparkContext.broadcast(frequent_shingles(source, words))  # FREQUENT rows at most
     source = source.withColumn("node", F.unhex(F.md5("norm")))
     kind = source.schema["doc_id"].dataType
-    base_schema = pa.schema([("doc_id", to_arrow_type(kind)), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.list_(pa.int64())), ("fps", pa.list_(pa.int64()))])
+    base_schema = pa.schema([("doc_id", to_arrow_type(kind)), ("node", pa.binary()), ("size", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, nodes, norms in rows_of(batches, ["doc_id", "node", "norm"]):
+        for ids, nodes, norms in rows_of(batches, ["doc_id", "node", "norm"], most=128):
             found = [shingles(x, words) for x in norms]
-            fps = [sampled_fingerprints(x, tables, features).view(np.int64) if len(x) else None for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((ids, nodes, [len(x) for x in found], [sketch(x) for x in found], fps), base_schema)], schema=base_schema)
+            prefixes = [prefix(x, similarity, *often.value).view(np.int64) for x in found]
+            columns = (ids, nodes, [len(x) for x in found], [majority(x) for x in found], prefixes)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, base_schema)], schema=base_schema)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, norms in rows_of(batches, ["node", "norm"]):
+        for nodes, norms in rows_of(batches, ["node", "norm"], most=128):
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([shingles(x, words).view(np.int64) for x in norms], pa.list_(pa.int64()))], ["node", "hashes"])
 
-    base = written(source.mapInArrow(sample, f"doc_id {kind.simpleString()}, node binary, size int, sketch array<bigint>, fps array<bigint>"), "near-base")
-    nodes = base.filter("fps is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "fps")])
-    cells = written(nodes.select("node", "size", "sketch", F.explode("fps").alias("cell")), "near-cells")
-    joined = components(links(cells.select(F.col("cell").alias("fp")).distinct(), TABLE_BITS)).select(F.col("node").alias("cell"), "root")
+    base = written(source.mapInArrow(sample, f"doc_id {kind.simpleString()}, node binary, size int, fp bigint, prefix array<bigint>"), "near-base")
+    nodes = base.filter("size > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "prefix")])
+    nodes = written(nodes.withColumn("place", F.xxhash64("node")), "near-nodes")
+    together = F.count(F.lit(1)).over(Window.partitionBy("cell"))
+    columns = ["cell", "node", "size", "place", F.col("node").alias("root")]
+
+    cells = nodes.select("node", "size", "place", F.explode("prefix").alias("cell")).withColumn("nodes", together)
+    active = written(cells.filter("nodes > 1").select(*columns), "near-active")
+    joined = components(links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
     joined = F.broadcast(joined) if joined.count() <= BROADCAST_ROWS else joined
-    cells = cells.join(joined, "cell", "left").select("node", "size", "sketch", F.coalesce("root", "cell").alias("cell")).distinct()
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("cell")
-    active = written(cells.join(shared, "cell").withColumn("place", F.xxhash64("cell", "node")), "near-active")
-    wanted = written(active.select("node").distinct(), "near-wanted")
+    alike = nodes.join(joined, "fp", "left").select("node", "size", "place", F.coalesce("root", "fp").alias("cell")).withColumn("nodes", together)
+    alike = written(alike.filter("nodes > 1").select(*columns), "near-alike")
+    wanted = written(active.select("node").union(alike.select("node")).distinct(), "near-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     sets = written(source.join(wanted, "node", "left_semi").select("node", "norm").dropDuplicates(["node"]).mapInArrow(hashed, "node binary, hashes array<bigint>"), "near-sets")
 
-    spark = docs.sparkSession
     tried, linked = Rounds(spark, "near-tried"), Rounds(spark, "near-linked")
-    many = 1
-    while not active.isEmpty():
-        first = active.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("place", "node"))).filter(F.col("nth") <= many)
-        first = written(first.select("cell", F.col("node").alias("first"), F.col("place").alias("first_place"), F.col("size").alias("first_size"), F.col("sketch").alias("first_sketch")), "near-first")
-        after = F.struct("first_place", "first") < F.struct("place", "node")
-        near = F.least("size", "first_size") >= F.lit(similarity) * F.greatest("size", "first_size")
-        near = near & may_be_similar("sketch", "first_sketch", similarity)
-        met = written(active.join(first, "cell").filter(after & near).select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"), "node", "cell"), "near-met")
-        pairs = met.select("a", "b").distinct()
-        new = pairs.join(tried.all(), ["a", "b"], "left_anti") if tried.count else pairs
+
+    def verify(pairs: DataFrame) -> DataFrame | None:
+        """Links the pairs that are similar; node and root of all that is linked by now, None if nothing is."""
+        new = pairs.select("a", "b")
+        new = new.join(tried.all(), ["a", "b"], "left_anti") if tried.count else new
         linked.add(similar(tried.add(new), sets, similarity))
-        leave = met.join(linked.all(), ["a", "b"], "left_semi").select("cell", "node").union(first.select("cell", "first")).distinct()
-        left = active.join(leave, ["cell", "node"], "left_anti")
-        still = left.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("cell")
-        active, many = written(left.join(still, "cell", "left_semi"), "near-active"), 4 * many
-    if not linked.count:
+        edges = linked.all().select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return None if edges.isEmpty() else components(edges)
+
+    def apart(groups: DataFrame | None) -> DataFrame:
+        """The cells' nodes by their present roots, without cells of one root."""
+        rooted = active.drop("root").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")) if groups is not None else active
+        several = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell")
+        return written(rooted.join(several, "cell", "left_semi").select("cell", "node", "size", "place", "root"), "near-active")
+
+    groups = verify(meeting(alike, 1, similarity))
+    active, many = apart(groups), 1
+    while many:
+        pairs = active.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
+        if not pairs:
+            break
+        many = many if pairs > CELL_PAIRS and many <= 64 else None
+        groups = verify(meeting(active, many, similarity).filter(enough_shared(similarity)))
+        if many:
+            active, many = apart(groups), 8 * many
+    if groups is None:
         return base.select("doc_id", "node", F.col("node").alias("root"))
-    groups = components(linked.all().select(F.col("a").alias("u"), F.col("b").alias("v")))
     return base.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

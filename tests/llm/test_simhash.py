@@ -133,3 +133,38 @@ def test_one_row_of_a_group_stays(spark):
     rows = [(1, a), (3, a), (3, b), (5, a + " more"), (None, b + " more"), (None, "own text"), (7, "once"), (7, "once"), (8, None), (9, "")]
     left = keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
     assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([(1, a), (3, b), (None, "own text"), (7, "once"), (8, None)], key=repr)
+
+
+def groups_of(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.root, set()).add(r.doc_id)
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("cell_pairs", [1_000_000, 0])
+def test_no_link_is_left_out(spark, monkeypatch, cell_pairs):
+    """Pairs at the very threshold, chains whose ends are unlike, and a crowd around one text: groups are those of brute force, exactly."""
+    monkeypatch.setattr(simhash_module, "CELL_PAIRS", cell_pairs, raising=False)
+    rng = random.Random(11)
+    own = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    texts = ["a b c d", "a b c d e", "a b c d e f"]
+    for n in range(13, 213):  # one word more at the end of 4 * k shingles: 4 * k of 5 * k in common, or one too few
+        base = own(n)
+        texts += [" ".join(base), " ".join(base + own((n - 4) // 4 + (n % 3 == 0)))]
+    chain = own(120)
+    for k in range(12):
+        texts.append(" ".join(chain))
+        chain = chain[12:] + own(12)
+    crowd = own(60)
+    for _ in range(100):
+        copy = list(crowd)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(60)] = own(1)[0]
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    linked = [(a, b) for a in range(len(texts)) for b in range(max(0, a - 1 if a < 415 else 0), a) if jaccard(texts[a], texts[b]) >= 0.8]
+    expected = {}
+    for k, root in reach(list(range(len(texts))), linked).items():
+        expected.setdefault(root, set()).add(k)
+    assert groups_of(near_copies(docs).collect()) == {frozenset(g) for g in expected.values()} and 250 < len(expected) < 450
