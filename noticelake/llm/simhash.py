@@ -44,7 +44,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: One text in so many is counted for the order of shingles, and so many of the most frequent ones come last.  Any order is exact; a good one leaves few pairs.
 COUNTED, FREQUENT = 8, 200_000
-#: Pairs in shared cells up to which all meet at once; beyond, the first 1, 8, 64 of each cell go before, so that what they join needs to meet no more.
+#: Pairs in shared cells up to which all meet at once; beyond, the first 1, 8, 64, ... of each cell go before while
+#: that halves the pairs left, so that what they join needs to meet no more.
 CELL_PAIRS = 1_000_000
 #: Slack of products of similarities and sizes, so that rounding never rules a pair out.
 SLACK = 1e-9
@@ -436,15 +437,15 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         return written(rooted.join(several, "cell", "left_semi").select("cell", "node", "size", "place", "root"), "near-active")
 
     groups = verify(meeting(alike, 1, similarity))
-    active, many = apart(groups), 1
+    active, many, last = apart(groups), 1, math.inf
     while many:
         pairs = active.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
         if not pairs:
             break
-        many = many if pairs > CELL_PAIRS and many <= 64 else None
+        many = many if pairs > CELL_PAIRS and pairs < last / 2 else None  # a round that joins little is the last but one
         groups = verify(meeting(active, many, similarity).filter(enough_shared(similarity)))
         if many:
-            active, many = apart(groups), 8 * many
+            active, many, last = apart(groups), 8 * many, pairs
     if groups is None:
         return base.select("doc_id", "node", F.col("node").alias("root"))
     return base.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
