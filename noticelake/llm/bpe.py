@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 LONG_PIECE = 256
 #: Known pieces kept by a worker (about 60 bytes each), pieces per recursive query, and characters looked at together.
 KNOWN_PIECES = 400_000
-QUERY_PIECES = 20_000
+QUERY_PIECES = 5_000
 GROUP_CHARS = 2_000_000
 GROUP_ROWS = 2_000
 
@@ -221,6 +221,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_column: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.get(lines.value, pattern)
+        batch = part = ids = n = decoded = hashes = columns = None
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
             group = np.maximum(np.cumsum(sizes) // GROUP_CHARS, np.arange(len(sizes)) // GROUP_ROWS)
@@ -231,5 +232,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_column: str = "d
                 hashes = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string()) for column in (ids, decoded)]
                 columns = [part.column("doc_id"), pa.array(n, pa.int64()), *hashes, *[ids, decoded] * with_values]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        del batch, part, ids, n, decoded, hashes, columns
+        pa.default_memory_pool().release_unused()  # the worker lives on, and what runs next in the executor needs the room
 
     return source.mapInArrow(run, T.StructType(fields))
