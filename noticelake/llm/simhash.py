@@ -22,7 +22,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ COUNTED, FREQUENT = 8, 200_000
 #: Pairs in shared cells up to which all meet at once; beyond, the first 1, 8, 64, ... of each cell go before while
 #: that halves the pairs left, so that what they join needs to meet no more.
 CELL_PAIRS = 1_000_000
+#: Texts of a block within which pairs are verified, about; the pairs of a block are about as many.
+BLOCK_TEXTS = 1_000
 #: Slack of products of similarities and sizes, so that rounding never rules a pair out.
 SLACK = 1e-9
 BROADCAST_ROWS = 500_000
@@ -320,13 +322,44 @@ def words_only(column: str) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(column), F.lit("")), upper, upper.lower()), WHITE, " "))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets (node, hashes) have at least that Jaccard similarity, counted exactly."""
-    own = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b")
-    shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    counted = both.select("a", "b", shared.alias("shared"), (F.size("hashes_a") + F.size("hashes_b")).alias("sizes"))
-    return counted.filter(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b")
+def dealt(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes by block, so that pairs with nodes in common meet in few blocks and each text moves to few.
+
+    Pairs go by the least node that either side is paired with or is, which all pairs of a crowd have in common.  What shares one and has over
+    BLOCK_TEXTS pairs or nodes is cut into a square of hashes of both sides; less goes to one of as many blocks as the pairs fill.
+    """
+    sides = pairs.union(pairs.select("b", "a")).toDF("node", "other")
+    least = written(sides.groupBy("node").agg(F.least("node", F.min("other")).alias("least")), "near-least")
+    own = lambda name: least.select(F.col("node").alias(name), F.col("least").alias(f"least_{name}"))
+    keyed = written(pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", F.least("least_a", "least_b").alias("key")), "near-keyed")
+    sides = keyed.select("key", F.explode(F.array("a", "b")).alias("node")).groupBy("key", "node").agg(F.count(F.lit(1)).alias("many"))
+    sizes = sides.groupBy("key").agg((F.sum("many") / 2).alias("pairs"), F.count(F.lit(1)).alias("nodes")).filter(F.greatest("pairs", "nodes") > BLOCK_TEXTS)
+    cuts = sizes.select("key", F.ceil(F.greatest(F.sqrt(F.col("pairs") / BLOCK_TEXTS), F.col("nodes") / BLOCK_TEXTS)).alias("cuts"))
+    light = F.pmod(F.xxhash64("key"), F.lit(keyed.count() // BLOCK_TEXTS + 1))
+    cut = [F.pmod(F.xxhash64(c, F.lit("cut")), F.col("cuts")) for c in ("a", "b")]
+    block = F.when(F.col("cuts").isNull(), light).otherwise(F.xxhash64("key", *cut))
+    return keyed.join(cuts, "key", "left").select("a", "b", block.alias("block"))
+
+
+def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingles have at least that Jaccard similarity, counted exactly.
+
+    texts gives one row (node, norm) for each of the nodes asked for.  Texts move, not their shingles, which take several times as much room, and
+    go once to each block that has a pair of theirs.
+    """
+    pairs = written(dealt(pairs), "near-dealt")
+    ends = written(pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ends")
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = {node: shingles(norm, words) for nodes, norms in rows_of(right.to_batches(), ["node", "norm"], most=128) for node, norm in zip(nodes, norms)}
+        near = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            near.append(shared >= similarity * (len(sets[a]) + len(sets[b]) - shared))
+        return left.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    moved = texts(ends.select("node").distinct()).join(ends, "node").select("block", "node", "norm")
+    return pairs.groupBy("block").cogroup(moved.groupBy("block")).applyInArrow(count, "a binary, b binary")
 
 
 def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +417,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Components of near fingerprints are joined first, each by pairs of its first node.  Then all pairs that share a cell, a hash of both prefixes, meet unless
     they have a root in common; by sizes and the number of cells shared most are ruled out, others are verified once.  The more nodes
     without a common root share rare shingles, the more pairs there are: up to all of them, as each may be a link.  Cells hold digests
-    and sizes; shingles are read again for nodes of cells alone, and those of a node are one row, 8 bytes a shingle.
+    and sizes; each round reads the texts of its own pairs again, and shingles of a text are made in the blocks where it is compared.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("doc_id"), words_only(text_column).alias("norm"))
@@ -400,9 +433,14 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             columns = (ids, nodes, [len(x) for x in found], [majority(x) for x in found], prefixes)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, base_schema)], schema=base_schema)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, norms in rows_of(batches, ["node", "norm"], most=128):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([shingles(x, words).view(np.int64) for x in norms], pa.list_(pa.int64()))], ["node", "hashes"])
+    def texts(nodes: DataFrame) -> DataFrame:
+        """node and words of the nodes; a row of each is looked up by its id first, so that few texts are read as words again."""
+        rows = base.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        rows = written(rows, "near-wanted")
+        rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+        raw = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+        found = raw.join(rows.select("doc_id"), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select(words_only("text").alias("norm"))
+        return found.withColumn("node", F.unhex(F.md5("norm"))).join(rows.select("node"), "node", "left_semi").select("node", "norm").dropDuplicates(["node"])
 
     base = written(source.mapInArrow(sample, f"doc_id {kind.simpleString()}, node binary, size int, fp bigint, prefix array<bigint>"), "near-base")
     nodes = base.filter("size > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "prefix")])
@@ -416,9 +454,6 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     joined = F.broadcast(joined) if joined.count() <= BROADCAST_ROWS else joined
     alike = nodes.join(joined, "fp", "left").select("node", "size", "place", F.coalesce("root", "fp").alias("cell")).withColumn("nodes", together)
     alike = written(alike.filter("nodes > 1").select(*columns), "near-alike")
-    wanted = written(active.select("node").union(alike.select("node")).distinct(), "near-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = written(source.join(wanted, "node", "left_semi").select("node", "norm").dropDuplicates(["node"]).mapInArrow(hashed, "node binary, hashes array<bigint>"), "near-sets")
 
     tried, linked = Rounds(spark, "near-tried"), Rounds(spark, "near-linked")
 
@@ -426,7 +461,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         """Links the pairs that are similar; node and root of all that is linked by now, None if nothing is."""
         new = pairs.select("a", "b")
         new = new.join(tried.all(), ["a", "b"], "left_anti") if tried.count else new
-        linked.add(similar(tried.add(new), sets, similarity))
+        linked.add(similar(tried.add(new), texts, words, similarity))
         edges = linked.all().select(F.col("a").alias("u"), F.col("b").alias("v"))
         return None if edges.isEmpty() else components(edges)
 

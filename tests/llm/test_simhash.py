@@ -168,3 +168,67 @@ def test_no_link_is_left_out(spark, monkeypatch, cell_pairs):
     for k, root in reach(list(range(len(texts))), linked).items():
         expected.setdefault(root, set()).add(k)
     assert groups_of(near_copies(docs).collect()) == {frozenset(g) for g in expected.values()} and 250 < len(expected) < 450
+
+
+def shuffled(spark):
+    """Bytes that this session's stages have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_move_to_few_blocks(spark):
+    """A crowd of which every pair has to be compared moves its texts a few times over, not once for each pair."""
+    rng = random.Random(5)
+    base, texts = [f"w{rng.randrange(10**9)}" for _ in range(1500)], []
+    for _ in range(60):  # two copies lack 24 words each, so they have 0.73 of their shingles in common, and none is linked
+        copy = list(base)
+        for k in range(24):
+            copy[60 * k + rng.randrange(50)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        assert len({r.root for r in near_copies(docs, similarity=0.8).collect()}) == 60
+        assert shuffled(spark) - before < 8 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_blocks_of_pairs(spark, monkeypatch):
+    """A star, a clique and single pairs: each pair is in one block, and no block has many nodes."""
+    monkeypatch.setattr(simhash_module, "BLOCK_TEXTS", 50)
+    star, clique = [(0, k) for k in range(1, 1001)], [(a, b) for a in range(2000, 2100) for b in range(a + 1, 2100)]
+    pairs = star + clique + [(k, k + 1) for k in range(5000, 6000, 2)]
+    rows = [(bytearray(a.to_bytes(4)), bytearray(b.to_bytes(4))) for a, b in pairs]
+    found = [(int.from_bytes(r.a), int.from_bytes(r.b), r.block) for r in simhash_module.dealt(spark.createDataFrame(rows, "a binary, b binary")).collect()]
+    assert sorted((a, b) for a, b, _ in found) == sorted(pairs)
+    nodes, blocks = {}, {}
+    for a, b, block in found:
+        nodes.setdefault(block, set()).update((a, b))
+    for block, held in nodes.items():
+        for k in held:
+            blocks.setdefault(k, set()).add(block)
+    assert max(map(len, nodes.values())) < 4 * 50 and sum(len(blocks[k]) for k in range(2000, 2100)) < len(clique) / 2
+
+
+def test_links_across_blocks(spark, monkeypatch):
+    """Repeated rows, null ids and a crowd that is cut into blocks: groups are those of brute force."""
+    monkeypatch.setattr(simhash_module, "BLOCK_TEXTS", 5)
+    rng = random.Random(6)
+    crowd, texts = [f"c{rng.randrange(10**9)}" for _ in range(70)], []
+    for _ in range(60):
+        copy = list(crowd)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(70)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    rows = [(k, x) for k, x in enumerate(texts)] + [(3, texts[3]), (3, texts[4]), (None, texts[5]), (None, " ".join(crowd)), (None, None)]
+    found = near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    expected = {}
+    for k, root in reach(list(range(len(rows))), [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8]).items():
+        expected.setdefault(root, []).append(repr(rows[k][0]))
+    got = {}
+    for r in found:
+        got.setdefault(r.root, []).append(repr(r.doc_id))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values())) and len(expected) < len(rows) - 8
