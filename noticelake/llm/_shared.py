@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,42 @@ def without_rows(docs: DataFrame, keys: list[Column], gone: DataFrame, several:
         one = joined(left, several, "left_semi").dropDuplicates([f"k{k}" for k in range(len(keys))])
         left = joined(left, several, "left_anti").unionByName(one)
     return left.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
+
+
+#: What this Python worker keeps between partitions: one thing at most, by its key.
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once per Python worker; it stays until a partition needs something else (``lean``)."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Give free memory back to the system: Arrow's, and that of malloc where it is glibc's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def let_go(key: Hashable) -> None:
+    """Drop what the worker keeps under any other key."""
+    if _kept and key not in _kept:
+        _kept.clear()
+        release()
+
+
+def lean(run: Callable[[Iterator], Iterator], key: Hashable = None) -> Callable[[Iterator], Iterator]:
+    """run, a function for mapInArrow, whose worker holds no more than it needs: what the stage before kept under another key goes
+    first, and free memory goes last, as the worker lives on and shares its executor's memory with the stages after it."""
+
+    def whole(batches: Iterator) -> Iterator:
+        let_go(key)
+        yield from run(batches)
+        release()
+
+    return whole

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from noticelake.llm._shared import kept, lean
+
 #: Pieces of more bytes are contracted by contract().
 LONG_PIECE = 256
 #: Known pieces kept by a worker (about 60 bytes each), pieces per recursive query, and characters looked at together.
@@ -70,18 +72,16 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines.splitlines() if x.strip())}
 
 
+def coder_key(lines: bytes, pattern: str) -> tuple[str, str, str]:
+    return "coder", hashlib.md5(lines).hexdigest(), pattern
+
+
 class Coder:
     """Encodes and decodes pieces; one per Python worker and vocabulary."""
 
-    _kept: dict[tuple, "Coder"] = {}
-
     @classmethod
     def get(cls, lines: bytes, pattern: str) -> "Coder":
-        key = (hashlib.md5(lines).hexdigest(), pattern)
-        if key not in cls._kept:
-            cls._kept.clear()
-            cls._kept[key] = cls(lines, pattern)
-        return cls._kept[key]
+        return kept(coder_key(lines, pattern), lambda: cls(lines, pattern))
 
     def __init__(self, lines: bytes, pattern: str):
         import duckdb
@@ -151,15 +151,14 @@ class Coder:
     def _learn(self, new: pa.Array) -> None:
         long = pc.greater(pc.binary_length(new), LONG_PIECE)
         short = new.filter(pc.invert(long))
+        found = [(self.pieces, self.ids, self.n, self.decoded)]
         for at in range(0, len(short), QUERY_PIECES):
             part = short.slice(at, QUERY_PIECES)
-            self._add(part, *self._query(part.to_pylist()))
+            found.append((part, *self._query(part.to_pylist())))
         for x in new.filter(long).to_pylist():
             ids = contract(x.encode(), self.ranks)
-            self._add(pa.array([x]), pa.array([",".join(map(str, ids))]), pa.array([len(ids)], pa.int32()), pa.array([b"".join(self.token[i] for i in ids)], pa.binary()))
-
-    def _add(self, pieces: pa.Array, ids: pa.Array, n: pa.Array, decoded: pa.Array) -> None:
-        self.pieces, self.ids, self.n, self.decoded = (pa.concat_arrays([a, b]) for a, b in zip((self.pieces, self.ids, self.n, self.decoded), (pieces, ids, n, decoded)))
+            found.append((pa.array([x]), pa.array([",".join(map(str, ids))]), pa.array([len(ids)], pa.int32()), pa.array([b"".join(self.token[i] for i in ids)], pa.binary())))
+        self.pieces, self.ids, self.n, self.decoded = map(pa.concat_arrays, zip(*found))
 
     def code(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
         """Of each text (none null): ids joined by commas, their number, the bytes they decode to."""
@@ -221,7 +220,6 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_column: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.get(lines.value, pattern)
-        batch = part = ids = n = decoded = hashes = columns = None
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
             group = np.maximum(np.cumsum(sizes) // GROUP_CHARS, np.arange(len(sizes)) // GROUP_ROWS)
@@ -232,7 +230,5 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_column: str = "d
                 hashes = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string()) for column in (ids, decoded)]
                 columns = [part.column("doc_id"), pa.array(n, pa.int64()), *hashes, *[ids, decoded] * with_values]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
-        del batch, part, ids, n, decoded, hashes, columns
-        pa.default_memory_pool().release_unused()  # the worker lives on, and what runs next in the executor needs the room
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(lean(run, coder_key(ranks_file, pattern)), T.StructType(fields))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm._shared import WHITE, partitions, without_rows, written
+from noticelake.llm._shared import WHITE, lean, partitions, without_rows, written
 
 #: Repeated fingerprints (8 bytes each) up to which the rows to verify are found by a broadcast; beyond, by a shuffled join.
 BROADCAST_FINGERPRINTS = 2_000_000
@@ -143,8 +143,8 @@ def repeated_fingerprints(rows: DataFrame, slices: int) -> DataFrame:
             again = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(fps[again].view(np.int64)), pa.array(counts[again])], ["fp", "copies"])
 
-    built = rows.select("fp", "copies").mapInArrow(build, schema)
-    return built.repartitionById(1 << slice_bits, F.col("slice")).mapInArrow(merge, "fp bigint, copies bigint")
+    built = rows.select("fp", "copies").mapInArrow(lean(build), schema)
+    return built.repartitionById(1 << slice_bits, F.col("slice")).mapInArrow(lean(merge), "fp bigint, copies bigint")
 
 
 def find_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", fingerprint=F.xxhash64) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from noticelake.llm._shared import WHITE, partitions, rows_of, without_rows, written
+from noticelake.llm._shared import WHITE, lean, partitions, release, rows_of, without_rows, written
 from noticelake.sources.scratch import Rounds
 
 SHINGLE = 3
@@ -54,8 +54,9 @@ SLACK = 1e-9
 BROADCAST_ROWS = 500_000
 #: Fingerprints of a coarse cell from which it is split.
 CELL_HOSTS = 1_000_000
-#: Candidate pairs that a task verifies at a time.
-PAIR_BLOCK = 4_000_000
+#: Candidate pairs that a task verifies at a time, and links that it holds before they become a forest.
+PAIR_BLOCK = 500_000
+HELD_LINKS = 4_000_000
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -92,7 +93,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "fp": fps}, schema=pa.schema([("doc_id", batch_type), ("fp", pa.int64())]))
 
     batch_type = to_arrow_type(source.schema["doc_id"].dataType)
-    return source.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, fp bigint")
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -174,7 +175,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
             cells, many = np.unique(coarse_counts(batch.column("fp").to_numpy().view(np.uint64)) @ base, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(many)], ["cell", "many"])
 
-    weights = distinct.select("fp").mapInArrow(weigh, "cell int, many bigint").groupBy("cell").agg(F.sum("many").alias("many"))
+    weights = distinct.select("fp").mapInArrow(lean(weigh), "cell int, many bigint").groupBy("cell").agg(F.sum("many").alias("many"))
     heavy = sorted((r.cell, -(-r.many // CELL_HOSTS)) for r in weights.filter(F.col("many") > CELL_HOSTS).collect())  # 17**4 cells at most
     heavy_cells, heavy_parts = np.array([c for c, _ in heavy], np.int64), np.array([m for _, m in heavy], np.uint64)
 
@@ -231,15 +232,15 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
                     near = (np.bitwise_count(x ^ y) <= bits) & (x != y)
                     held_a.append(x[near]), held_b.append(y[near])
                     size += int(near.sum())
-                    if size > PAIR_BLOCK:
+                    if size > HELD_LINKS:
                         a, b = spanning_forest(np.concatenate(held_a), np.concatenate(held_b))
                         held_a, held_b, size = [a], [b], 0
             if size:
                 a, b = spanning_forest(np.concatenate(held_a), np.concatenate(held_b))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
-    dealt = distinct.select("fp").mapInArrow(spread, "cell int, part int, step byte, fp bigint").repartition(n, "cell", "part")
-    return dealt.select("cell", "step", "fp").mapInArrow(join, "u bigint, v bigint")
+    dealt = distinct.select("fp").mapInArrow(lean(spread), "cell int, part int, step byte, fp bigint").repartition(n, "cell", "part")
+    return dealt.select("cell", "step", "fp").mapInArrow(lean(join), "u bigint, v bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -356,6 +357,8 @@ def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: in
         for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
             shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
             near.append(shared >= similarity * (len(sets[a]) + len(sets[b]) - shared))
+        del sets
+        release()
         return left.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     moved = texts(ends.select("node").distinct()).join(ends, "node").select("block", "node", "norm")
@@ -370,7 +373,7 @@ def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
             found, many = np.unique(np.concatenate([shingles(x, words) for x in norms]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], ["hash", "many"])
 
-    counted = texts.filter(F.pmod(F.xxhash64("norm"), F.lit(COUNTED)) == 0).select("norm").mapInArrow(run, "hash bigint, many bigint")
+    counted = texts.filter(F.pmod(F.xxhash64("norm"), F.lit(COUNTED)) == 0).select("norm").mapInArrow(lean(run), "hash bigint, many bigint")
     rows = counted.groupBy("hash").agg(F.sum("many").alias("many")).filter("many > 1").orderBy(F.desc("many"), "hash").limit(FREQUENT).collect()
     often = np.array([r.hash for r in rows], np.int64).view(np.uint64)
     order = np.argsort(often)
@@ -442,7 +445,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         found = raw.join(rows.select("doc_id"), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select(words_only("text").alias("norm"))
         return found.withColumn("node", F.unhex(F.md5("norm"))).join(rows.select("node"), "node", "left_semi").select("node", "norm").dropDuplicates(["node"])
 
-    base = written(source.mapInArrow(sample, f"doc_id {kind.simpleString()}, node binary, size int, fp bigint, prefix array<bigint>"), "near-base")
+    base = written(source.mapInArrow(lean(sample), f"doc_id {kind.simpleString()}, node binary, size int, fp bigint, prefix array<bigint>"), "near-base")
     nodes = base.filter("size > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "prefix")])
     nodes = written(nodes.withColumn("place", F.xxhash64("node")), "near-nodes")
     together = F.count(F.lit(1)).over(Window.partitionBy("cell"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from noticelake.llm._shared import partitions, rows_of, written
+from noticelake.llm._shared import lean, partitions, rows_of, written
 
 #: Labelled rows that training reads at most; terms and look-alikes are words of these rows, and so bounded too.
 SAMPLE_ROWS = 20_000
@@ -256,7 +256,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    counted = sample.select("text", "toxic", "fold").mapInArrow(run, "word string, " + ", ".join(f"{x} bigint" for x in COUNTS))
+    counted = sample.select("text", "toxic", "fold").mapInArrow(lean(run), "word string, " + ", ".join(f"{x} bigint" for x in COUNTS))
     return counted.groupBy("word").agg(*[F.sum(x).alias(x) for x in COUNTS])
 
 
@@ -268,7 +268,7 @@ def near_terms(words: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([x not in lexicon.terms and lexicon.search(x) is not None for x in batch.column("word").to_pylist()], pa.bool_()))
 
-    return words.mapInArrow(run, words.schema)
+    return words.mapInArrow(lean(run), words.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
@@ -333,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_column
             yield pa.RecordBatch.from_arrays([pa.array([float(x) for x in column], pa.float64()) for column in zip(*out)], names) if out else pa.RecordBatch.from_pydict({k: pa.array([], pa.float64()) for k in names})
 
     schema = ", ".join(f"{x} double" for x in ["toxic", "n", *[f"{kind}{k}" for k in range(4) for kind in ("w", "h")]])
-    table = np.array(sample.mapInArrow(evidence, schema).collect(), float).reshape(-1, 10)  # at most ``rows`` rows of numbers
+    table = np.array(sample.mapInArrow(lean(evidence), schema).collect(), float).reshape(-1, 10)  # at most ``rows`` rows of numbers
     mark, size = table[:, 0], table[:, 1]
     base = n[1].sum() / n[0].sum()
     for k, c in enumerate(PRIOR):
@@ -379,7 +379,7 @@ def scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
         for ids, texts in rows_of(batches, ["doc_id", "text"]):
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([score(x) for x in texts], pa.float64())], ["doc_id", "score"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
@@ -398,4 +398,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col
                 part = batch.slice(start, 512)
                 yield part.filter(pa.array([score(x) < threshold for x in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
