@@ -117,3 +117,20 @@ def test_expansion_follows_pages_until_nothing_is_new(spark):
 def test_department_of_url(spark):
     rows = spark.createDataFrame([("https://host.example/ACD/index.htm",), ("https://host.example/",), ("other",), (None,)], "url string")
     assert [r[0] for r in rows.select(citation.department_of_url(F.col("url"))).collect()] == ["acd", None, None, None]
+
+
+def test_numbers_and_dates_by_priority(spark):
+    """The patterns tried one after the other, as they are written, on texts that mix them."""
+    import random
+    import re
+
+    from noticelake.functions import text
+
+    rng = random.Random(8)
+    parts = ["Circular", "no.", "Letter No. 4", "no.5", "7 of 2011", "May 3, 2014", "XMay 13,  2004", ", 2004", "3 May 2012", "1/2/2003", "2003-04-05", " ", "\t", "  ", "é", "12345", "of"]
+    made = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    first = lambda patterns, s, flags=0: next((m[1] for p in patterns if (m := re.search(p, s, flags))), None)
+    rows = spark.createDataFrame([(s,) for s in made], "s string").select("s", text.first_number(F.col("s")).alias("number"), text.first_date(F.col("s")).alias("date")).collect()
+    for r in rows:
+        cleaned = re.sub(r"\s+", " ", r.s).strip()
+        assert (r.number, r.date) == (first(text.NUMBER_PATTERNS, r.s, re.I), first(text.DATE_PATTERNS, cleaned) if len(cleaned) >= 3 else None)
